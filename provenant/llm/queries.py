@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from provenant.llm import mixing
+from provenant.llm.mixing import op7_mix
 from provenant.llm.simhash import op3_simhash
 
 
@@ -17,11 +19,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_simhash(_table(spark, sf_dir, "documents"))
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_mix(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash": op3,
+        "op7_mix": op7,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mix": mixing.ORACLE_SQL}
