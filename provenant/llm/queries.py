@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from provenant.llm import mixing
 from provenant.llm.mixing import op7_mix
+from provenant.llm.quality import op10_quality
 from provenant.llm.simhash import op3_simhash
 
 
@@ -23,10 +24,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_mix(_table(spark, sf_dir, "documents"))
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash": op3,
         "op7_mix": op7,
+        "op10_quality": op10,
     }
 
 
