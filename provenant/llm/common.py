@@ -101,3 +101,11 @@ def local_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         a, b = a[open_], b[open_]
     return label
 
+
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label (smallest reachable index of each node) after more links a[i] - b[i]."""
+    a, b = label[a], label[b]
+    new = a != b
+    if not new.any():
+        return label
+    return local_components(a[new], b[new], len(label))[label]

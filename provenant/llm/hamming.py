@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import group_starts, local_components, materialize, whole_groups
+from provenant.llm.common import group_starts, materialize, merged, whole_groups
 
 #: Levels by which an over-full trie node is split at once.
 STEP = 8
 #: Node pairs with at most this many members are compared directly.
 LEAF = 256
-#: Comparisons held in memory at once.
-CHUNK = 2_000_000
+#: Comparisons, and node pairs, held in memory at once.
+CHUNK, FRONT = 500_000, 100_000
 
 
 def hamming_links(fingerprints: DataFrame, max_bits: int, capacity: int = 16_384) -> DataFrame:
@@ -61,8 +61,9 @@ def hamming_links(fingerprints: DataFrame, max_bits: int, capacity: int = 16_384
         for table in whole_groups(batches, key):
             node = table.column("node").to_numpy()
             word = table.column("word").to_numpy().view(np.uint64)
-            a, b = trie_join(word, table.column("home").to_numpy(), group_starts(table, key), max_bits)
-            label = local_components(a, b, len(node))
+            label = np.arange(len(node))
+            for a, b in trie_join(word, table.column("home").to_numpy(), group_starts(table, key), max_bits):
+                label = merged(label, a, b)
             child = np.flatnonzero(label != np.arange(len(label)))
             src, dst = node[child], node[label[child]]
             keep = src != dst
@@ -105,40 +106,38 @@ def _split(rows: DataFrame, max_bits: int) -> DataFrame:
     return out.select("node", "rot", "depth", "word", prefix.alias("prefix"), "errors", (F.col("home") & (F.col("mask") == 0)).alias("home"))
 
 
-def trie_join(word: np.ndarray, home: np.ndarray, starts: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within max_bits: home with home, and probe with home, in each group.
+def trie_join(word: np.ndarray, home: np.ndarray, starts: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within max_bits: home with home, and probe with home, in each group; a chunk at a time.
 
     word is sorted in each group, home ones first. A trie node is a range of
-    rows; all groups go down one level at a time together.
+    rows. Node pairs of all groups go down together, a bounded front of them
+    at a time, so memory follows the rows, not the pairs.
     """
     ends = np.append(starts[1:], len(word))
     homes = np.concatenate([[0], np.cumsum(home)])
     split = starts + homes[ends] - homes[starts]
-    lo = np.concatenate([starts, split])
-    hi = np.concatenate([split, ends])
-    lo2, hi2 = np.tile(starts, 2), np.tile(split, 2)
-    err = np.zeros(len(lo), dtype=np.int64)
-    found_a, found_b = [], []
-    for bit in range(63, -2, -1):
-        size = (hi - lo) * (hi2 - lo2)
-        small = (size <= LEAF) | (bit < 0)
-        for a, b in _compared(word, lo[small], hi[small], lo2[small], hi2[small], max_bits):
-            found_a.append(a)
-            found_b.append(b)
+    ones: dict[int, np.ndarray] = {}
+    first = (np.concatenate([starts, split]), np.concatenate([split, ends]), np.tile(starts, 2), np.tile(split, 2), np.zeros(2 * len(starts), dtype=np.int64))
+    fronts = [(63, first)]
+    while fronts:
+        bit, (lo, hi, lo2, hi2, err) = fronts.pop()
+        small = ((hi - lo) * (hi2 - lo2) <= LEAF) | (bit < 0)
+        yield from _compared(word, lo[small], hi[small], lo2[small], hi2[small], max_bits)
         lo, hi, lo2, hi2, err = (x[~small] for x in (lo, hi, lo2, hi2, err))
         if not len(lo):
-            break
-        ones = np.concatenate([[0], np.cumsum((word >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
-        mid, mid2 = hi - (ones[hi] - ones[lo]), hi2 - (ones[hi2] - ones[lo2])
+            continue
+        if bit not in ones:
+            ones[bit] = np.concatenate([[0], np.cumsum((word >> np.uint64(bit)) & np.uint64(1), dtype=np.int32)])
+        seen = ones[bit]
+        mid, mid2 = hi - (seen[hi] - seen[lo]), hi2 - (seen[hi2] - seen[lo2])
         same = (lo == lo2) & (hi == hi2)
         pieces = [(lo, mid, lo2, mid2, err), (mid, hi, mid2, hi2, err), (lo, mid, mid2, hi2, err + 1)]
         pieces.append(tuple(x[~same] for x in (mid, hi, lo2, mid2, err + 1)))
-        lo, hi, lo2, hi2, err = (np.concatenate(x) for x in zip(*pieces))
-        live = (hi > lo) & (hi2 > lo2) & (err <= max_bits)
-        lo, hi, lo2, hi2, err = (x[live] for x in (lo, hi, lo2, hi2, err))
-    if not found_a:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    return np.concatenate(found_a), np.concatenate(found_b)
+        below = [np.concatenate(x) for x in zip(*pieces)]
+        live = (below[1] > below[0]) & (below[3] > below[2]) & (below[4] <= max_bits)
+        below = [x[live] for x in below]
+        for at in range(0, len(below[0]), FRONT):
+            fronts.append((bit - 1, tuple(x[at : at + FRONT] for x in below)))
 
 
 def _compared(word, lo, hi, lo2, hi2, max_bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
