@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from provenant.llm import mixing
 from provenant.llm.mixing import op7_mix
+from provenant.llm.packing import op4_packing
 from provenant.llm.quality import op10_quality
 from provenant.llm.simhash import op3_simhash
 
@@ -20,6 +21,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_simhash(_table(spark, sf_dir, "documents"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_packing(_table(spark, sf_dir, "documents"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_mix(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash": op3,
+        "op4_packing": op4,
         "op7_mix": op7,
         "op10_quality": op10,
     }
