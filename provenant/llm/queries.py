@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from provenant.llm import mixing
+from provenant.llm.embedding_dedup import op1_embedding_dedup
 from provenant.llm.mixing import op7_mix
 from provenant.llm.packing import op4_packing
 from provenant.llm.quality import op10_quality
@@ -17,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_simhash(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_dedup": op1,
         "op3_simhash": op3,
         "op4_packing": op4,
         "op7_mix": op7,
