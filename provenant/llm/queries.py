@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from provenant.llm import mixing
 from provenant.llm.embedding_dedup import op1_embedding_dedup
+from provenant.llm.media import op6_media
 from provenant.llm.mixing import op7_mix
 from provenant.llm.packing import op4_packing
 from provenant.llm.quality import op10_quality
@@ -30,6 +31,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_packing(_table(spark, sf_dir, "documents"))
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_media(_table(spark, sf_dir, "documents"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_mix(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_embedding_dedup": op1,
         "op3_simhash": op3,
         "op4_packing": op4,
+        "op6_media": op6,
         "op7_mix": op7,
         "op10_quality": op10,
     }
