@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from provenant.llm.common import column, materialize
 
 #: Rows that one window may put in order.
-RANKED_ROWS = 250_000
+RANKED_ROWS = 10_000
 
 
 @cache
