@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from provenant.llm import mixing
 from provenant.llm.embedding_dedup import op1_embedding_dedup
+from provenant.llm.html import op8_html
 from provenant.llm.media import op6_media
 from provenant.llm.mixing import op7_mix
 from provenant.llm.packing import op4_packing
@@ -39,6 +40,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_mix(_table(spark, sf_dir, "documents"))
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_html(_table(spark, sf_dir, "pages"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -50,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4,
         "op6_media": op6,
         "op7_mix": op7,
+        "op8_html": op8,
         "op10_quality": op10,
     }
 
