@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from provenant.llm import mixing
 from provenant.llm.embedding_dedup import op1_embedding_dedup
 from provenant.llm.html import op8_html
+from provenant.llm.line_dedup import op2_line_dedup
 from provenant.llm.media import op6_media
 from provenant.llm.mixing import op7_mix
 from provenant.llm.packing import op4_packing
@@ -24,6 +25,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_embedding_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_line_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_simhash(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1,
+        "op2_line_dedup": op2,
         "op3_simhash": op3,
         "op4_packing": op4,
         "op6_media": op6,
