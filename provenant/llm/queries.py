@@ -13,6 +13,7 @@ from provenant.llm.line_dedup import op2_line_dedup
 from provenant.llm.media import op6_media
 from provenant.llm.mixing import op7_mix
 from provenant.llm.packing import op4_packing
+from provenant.llm.pii import op9_pii
 from provenant.llm.quality import op10_quality
 from provenant.llm.simhash import op3_simhash
 
@@ -49,6 +50,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_html(_table(spark, sf_dir, "pages"))
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_pii(_table(spark, sf_dir, "documents"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_media": op6,
         "op7_mix": op7,
         "op8_html": op8,
+        "op9_pii": op9,
         "op10_quality": op10,
     }
 
