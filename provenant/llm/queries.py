@@ -10,6 +10,7 @@ from provenant.llm import mixing
 from provenant.llm.embedding_dedup import op1_embedding_dedup
 from provenant.llm.html import op8_html
 from provenant.llm.line_dedup import op2_line_dedup
+from provenant.llm.lm_score import op5_lm_score
 from provenant.llm.media import op6_media
 from provenant.llm.mixing import op7_mix
 from provenant.llm.packing import op4_packing
@@ -38,6 +39,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_packing(_table(spark, sf_dir, "documents"))
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_lm_score(_table(spark, sf_dir, "documents"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_media(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2,
         "op3_simhash": op3,
         "op4_packing": op4,
+        "op5_lm_score": op5,
         "op6_media": op6,
         "op7_mix": op7,
         "op8_html": op8,
