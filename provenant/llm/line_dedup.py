@@ -6,7 +6,6 @@ to be verified, and then only lines that have a candidate are fetched.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,34 +18,38 @@ from provenant.llm.common import column, group_starts, materialize, may_hold, wh
 from provenant.llm.components import connected_components
 from provenant.llm.hamming import hamming_links, trie_join
 
-_MARK = re.compile(r"[^\w\s]+|_+")
-_DIGIT = re.compile(r"\d")
+#: Digits count as 0; other ASCII marks are left out.
+_AS_ZERO = bytes(48 if 48 <= x <= 57 else x for x in range(256))
+_MARKS = bytes(x for x in range(33, 127) if not chr(x).isalnum())
 #: Lines of fewer words are compared by character trigrams.
 FEW_WORDS = 8
-#: Lines of fewer characters (normalised) are deduplicated when equal, not when similar.
+#: Lines of fewer bytes (normalised) are deduplicated when equal, not when similar.
 FUZZY_CHARS = 20
 #: Features hashed at once, and words remembered.
 CHUNK, KNOWN = 65_536, 400_000
 
 
 class _Hashes(dict):
-    def __missing__(self, feature: str) -> int:
+    """feature -> its hash as 8 bytes; remembers a bounded number."""
+
+    def __missing__(self, feature: bytes) -> bytes:
         if len(self) >= KNOWN:
             self.clear()
-        value = self[feature] = xxhash.xxh64_intdigest(feature)
+        value = self[feature] = xxhash.xxh64_digest(feature)
         return value
 
 
-def normalized_lines(text: str) -> list[list[str]]:
-    """Words of each line: lower case, without punctuation, digits as 0."""
-    clean = _DIGIT.sub("0", _MARK.sub("", text.lower()))
-    return [line.split() for line in clean.split("\n")]
+def normalized_lines(text: str) -> list[list[bytes]]:
+    """Words (UTF-8) of each line: lower case, without ASCII marks, digits as 0."""
+    clean = text.lower().encode().translate(_AS_ZERO, _MARKS)
+    return [line.split() for line in clean.split(b"\n")]
 
 
-def _features(words: list[str], line: str) -> list[str]:
+def _features(words: list[bytes], line: bytes) -> set[bytes]:
+    """Distinct words (frequent ones would drown the rest), or trigrams of a line of few words."""
     if len(words) >= FEW_WORDS:
-        return words
-    return [line[i : i + 3] for i in range(max(1, len(line) - 2))]
+        return set(words)
+    return {line[i : i + 3] for i in range(max(1, len(line) - 2))}
 
 
 def majorities(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -68,10 +71,10 @@ def line_table(documents: DataFrame) -> DataFrame:
         hashes = _Hashes()
         for batch in batches:
             ids, keys, texts = (column(batch, x) for x in ("doc_id", "key", "text"))
-            row, number, h, chars, starts, values = [], [], [], [], [], []
+            row, number, h, chars, starts, values, size = [], [], [], [], [], [], 0
 
             def made() -> pa.RecordBatch:
-                fp = majorities(np.array(values, dtype=np.uint64), np.array(starts)) if starts else np.empty(0, dtype=np.uint64)
+                fp = majorities(np.frombuffer(b"".join(values), dtype="<u8"), np.array(starts)) if starts else np.empty(0, dtype=np.uint64)
                 at = pa.array(row, pa.int64())
                 arrays = [ids.take(at), keys.take(at), pa.array(number, pa.int32()), pa.array(np.array(h, dtype=np.uint64).view(np.int64)), pa.array(fp.view(np.int64)), pa.array(chars, pa.int32())]
                 return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "line_no", "h", "fp", "chars"])
@@ -80,16 +83,18 @@ def line_table(documents: DataFrame) -> DataFrame:
                 for n, words in enumerate(normalized_lines(texts[k].as_py() or "")):
                     if not words:
                         continue
-                    line = " ".join(words)
+                    line = b" ".join(words)
                     row.append(k)
                     number.append(n)
                     h.append(xxhash.xxh64_intdigest(line))
                     chars.append(len(line))
-                    starts.append(len(values))
-                    values.extend(map(hashes.__getitem__, _features(words, line)))
-                    if len(values) >= CHUNK:
+                    starts.append(size)
+                    features = _features(words, line)
+                    values.extend(map(hashes.__getitem__, features))
+                    size += len(features)
+                    if size >= CHUNK:
                         yield made()
-                        row, number, h, chars, starts, values = [], [], [], [], [], []
+                        row, number, h, chars, starts, values, size = [], [], [], [], [], [], 0
             yield made()
 
     return documents.select("doc_id", "key", "text").mapInArrow(of, "doc_id long, key long, line_no int, h long, fp long, chars int")
@@ -205,7 +210,7 @@ def dropped_lines(documents: DataFrame, similarity: float, max_bits: int) -> Dat
                 words = normalized_lines(text.as_py())
                 for x in want.as_py():
                     h.append(x["h"])
-                    line.append(" ".join(words[x["line_no"]]))
+                    line.append(b" ".join(words[x["line_no"]]).decode())
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(line, pa.string())], names=["h", "line"])
 
     found = texts.select("text", "want").mapInArrow(fetched, "h long, line string").dropDuplicates(["h"])
@@ -220,10 +225,10 @@ def dropped_lines(documents: DataFrame, similarity: float, max_bits: int) -> Dat
     return drop.groupBy("key").agg(F.collect_set("line_no").alias("lines"))
 
 
-def dedup_lines(documents: DataFrame, similarity: float = 0.9, max_bits: int = 4) -> DataFrame:
+def dedup_lines(documents: DataFrame, similarity: float = 0.9, max_bits: int = 3) -> DataFrame:
     """documents with repeated lines taken out of their text, and columns __lines and __kept with how many there were and stay.
 
-    Lines are parted at line feeds and compared without case, punctuation,
+    Lines are parted at line feeds and compared without case, ASCII marks,
     digits' values and spacing; they link when equal so, or when their
     SimHashes differ in at most max_bits bits and 1 - edit distance / longer
     length is at least `similarity`. Of each connected group the occurrence

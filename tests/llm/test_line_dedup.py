@@ -34,24 +34,25 @@ def test_majorities():
         assert int(got) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in part) > len(part))
 
 
-def brute(rows, similarity=0.9, bits=4):
+def brute(rows, similarity=0.9, bits=3):
     """Every pair of distinct lines compared."""
     lines = {}
     for i, t, *_ in rows:
         for k, words in enumerate(ld.normalized_lines(t or "")):
             if words:
-                lines.setdefault(" ".join(words), []).append((i, k))
+                lines.setdefault(b" ".join(words), []).append((i, k))
     names = list(lines)
     marks = {}
     for x in names:
         f = ld._features(x.split(), x)
-        h = [ld.xxhash.xxh64_intdigest(y) for y in f]
+        h = [int.from_bytes(ld.xxhash.xxh64_digest(y), "little") for y in f]
         marks[x] = sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
     links = []
     for a in names:
         for b in names:
             if a < b and min(len(a), len(b)) >= ld.FUZZY_CHARS and (marks[a] ^ marks[b]).bit_count() <= bits:
-                if distance(a, b) <= int((1 - similarity) * max(len(a), len(b)) + 1e-9):
+                p, q = a.decode(), b.decode()
+                if distance(p, q) <= int((1 - similarity) * max(len(p), len(q)) + 1e-9):
                     links.append((a, b))
     group = plain_components(names, links)
     first = {}
@@ -64,7 +65,7 @@ def brute(rows, similarity=0.9, bits=4):
             continue
         keep = []
         for k, (raw, words) in enumerate(zip(t.split("\n"), ld.normalized_lines(t))):
-            if not words or first[group[" ".join(words)]] == (i, k):
+            if not words or first[group[b" ".join(words)]] == (i, k):
                 keep.append(raw)
         out[i] = "\n".join(keep)
     return out, links
