@@ -8,7 +8,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,31 +111,19 @@ def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return local_components(a[new], b[new], len(label))[label]
 
 
-#: Bits of a key filter: its size is fixed, whatever it is built from.
-FILTER_BITS = 1 << 24
+#: Spots of a key filter: its size is fixed, whatever it is built from.
+SPOTS = 1 << 20
 
 
-def may_hold(keys: DataFrame, key: str):
-    """A predicate on a long column: false only where no row of keys has that key.
+def split_by_key(df: DataFrame, keys: DataFrame, key: str, own: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of df whose column `own` may be among the keys, and rows for which it surely is not.
 
-    A Bloom filter of a fixed 2 MB. It spares a wide table the shuffle of rows
-    that cannot join; filled up by very many keys it lets more rows pass,
-    never fewer, so the join that follows stays exact.
+    Keys are known by a hash below SPOTS, so what is broadcast has at most
+    that many rows. It spares a wide table the shuffle of rows that cannot
+    join; with very many keys more rows pass, never fewer, so a join of the
+    first part stays exact.
     """
-    spots = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(s), F.col(key)), F.lit(FILTER_BITS)) for s in (1, 2, 3)])).alias("spot")
-    words = keys.select(spots).groupBy(F.shiftright("spot", 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("spot") % 32).cast("int"))).alias("bits"))
-    found = words.toPandas()  # at most FILTER_BITS / 32 rows
-    table = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
-    table[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
-    shared = keys.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def held(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        bits = shared.value
-        out = np.ones(len(a), dtype=bool)
-        for spot in (a, b, c):
-            spot = spot.to_numpy()
-            out &= (bits[spot >> 5] >> (spot & 31).astype(np.uint32)) & 1 == 1
-        return pd.Series(out)
-
-    return lambda column: held(*[F.pmod(F.xxhash64(F.lit(s), column), F.lit(FILTER_BITS)) for s in (1, 2, 3)])
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(SPOTS)).cast("int")
+    spots = F.broadcast(keys.select(spot(key).alias("__spot")).distinct())
+    marked = df.withColumn("__spot", spot(own))
+    return marked.join(spots, "__spot", "left_semi").drop("__spot"), marked.join(spots, "__spot", "left_anti").drop("__spot")

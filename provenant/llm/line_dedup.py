@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import column, group_starts, materialize, may_hold, whole_groups
+from provenant.llm.common import column, group_starts, materialize, split_by_key, whole_groups
 from provenant.llm.components import connected_components
 from provenant.llm.hamming import hamming_links, trie_join
 
@@ -201,7 +201,7 @@ def dropped_lines(documents: DataFrame, similarity: float, max_bits: int) -> Dat
     chosen = materialize(chosen, "line-candidates")
     wanted = chosen.groupBy("key").agg(F.collect_list(F.struct("line_no", "h")).alias("want"))
     wanted = materialize(wanted, "line-wanted")
-    texts = rows.where(may_hold(wanted, "key")(F.col("key"))).select("key", "text").join(wanted, "key")
+    texts = split_by_key(rows.select("key", "text"), wanted, "key", "key")[0].join(wanted, "key")
 
     def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,11 +240,10 @@ def dedup_lines(documents: DataFrame, similarity: float = 0.9, max_bits: int = 3
     keyed = _keyed(documents)
     drops = materialize(dropped_lines(keyed, similarity, max_bits), "line-drops").select(F.col("key").alias("__line_key"), F.col("lines").alias("__drop"))
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    keyed = keyed.withColumn("__loses", may_hold(drops, "__line_key")(F.col("__line_key"))).withColumn("__lines", count)
-
+    losing, intact = split_by_key(keyed.withColumn("__lines", count), drops, "__line_key", "__line_key")
     names = [f"`{n}`" for n in documents.columns]
-    intact = keyed.where("not __loses").select(*names, "__lines", F.col("__lines").alias("__kept"))
-    joined = keyed.where("__loses").drop("__loses").join(drops, "__line_key", "left")
+    intact = intact.select(*names, "__lines", F.col("__lines").alias("__kept"))
+    joined = losing.join(drops, "__line_key", "left")
 
     @F.pandas_udf("string")
     def rest(text, drop):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import column, materialize, may_hold
+from provenant.llm.common import column, materialize, split_by_key
 
 #: Titles that announce a name, by the gender they tell ("" for none).
 TITLES = {
@@ -284,10 +284,10 @@ def pseudonymize(documents: DataFrame, key: bytes = b"provenant") -> DataFrame:
     each = F.struct("start", "stop", "kind", "new")
     lists = spans.join(new, ["kind", "value"]).groupBy("key").agg(F.array_sort(F.collect_list(each)).alias("__entities"))
     lists = materialize(lists, "pii-lists").withColumnRenamed("key", "__pii_key")
-    keyed = keyed.withColumn("__has", may_hold(lists, "__pii_key")(F.col("__pii_key")))
+    told, clean = split_by_key(keyed, lists, "__pii_key", "__pii_key")
     names = [f"`{n}`" for n in documents.columns]
-    clean = keyed.where("not __has").select(*names, F.expr("cast(array() as array<struct<start:int,stop:int,kind:string,new:string>>)").alias("__entities"))
-    told = keyed.where("__has").join(lists, "__pii_key", "left")
+    clean = clean.select(*names, F.expr("cast(array() as array<struct<start:int,stop:int,kind:string,new:string>>)").alias("__entities"))
+    told = told.join(lists, "__pii_key", "left")
 
     @F.pandas_udf("string")
     def replaced(text, entities_):
