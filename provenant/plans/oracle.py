@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from provenant.functions import constants as C
+from provenant.plans import corpus
 from provenant.plans.bridge import duck_with
 
 NODES = """
@@ -118,6 +119,33 @@ OLD_NEW = f"""
     from old_ o full outer join new_ n on o.node_id = n.node_id)"""
 
 
+def _values(columns: str, rows: tuple) -> str:
+    """A query whose rows are written out."""
+
+    def literal(x: object) -> str:
+        return "null" if x is None else str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
+
+    return f"select * from (values {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) v({columns})"
+
+
+def _source_sql() -> dict[str, str]:
+    out = {}
+    for language, module in corpus.MODULES.items():
+        out |= {
+            f"{language}_sites": _values("line, level, function, class_name, message_template", tuple((a, b, c, d, e) for a, b, c, d, e in corpus.SITES[language])),
+            f"{language}_signatures": _values("line, flags, parameters, result", corpus.CONTEXTS[language]),
+            f"{language}_models": _values("name, line, bases, fields", corpus.MODELS[language]),
+            f"{language}_imports": _values("import", tuple((x,) for x in corpus.IMPORTS[language])),
+            f"{language}_functions": _values("function", tuple((x,) for x in corpus.FUNCTIONS[language])),
+            f"{language}_calls": _values("caller, callee", tuple((f"{module}.{a}", b) for a, b in corpus.CALLS[language])),
+        }
+    out["regex_fallback_sites"] = _values("line, level, message_template", corpus.TEXT_SITES)
+    out["module_paths"] = _values("path, module", tuple((path, corpus.MODULES[language]) for path, language, _ in corpus.FILES))
+    path = {language: p for p, language, _ in corpus.FILES}
+    out["source_nodes"] = _values("file, line, module, function, level, message_template", tuple((path[lang], line, corpus.MODULES[lang], fn, level, text) for lang, rows in corpus.SITES.items() for line, level, fn, _, text in rows))
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
     """Query name -> SQL."""
     sql = {
@@ -205,4 +233,4 @@ def oracle_sql() -> dict[str, str]:
     }
     for q in ("stream_enrich_equals_batch",):
         sql[q] = sql["enrich_logs"]
-    return sql
+    return sql | _source_sql()

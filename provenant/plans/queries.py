@@ -11,7 +11,9 @@ from provenant.functions import constants as C
 from provenant.functions import text as T
 from provenant.operators import calls as calls_
 from provenant.operators import compare, enrich, imports, nodes, resolve, stats
+from provenant.plans import corpus
 from provenant.plans.bridge import table
+from provenant.sources import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 BUILT_AT, COMMIT = "2024-01-01T00:00:00", "abc"
@@ -189,6 +191,57 @@ def stream_enrich_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     return _flat(run_available(table(spark, d, "logs"), _nodes(spark, d), _dimension(spark, d)))
 
 
+def _corpus(spark: SparkSession) -> scan.SourceTables:
+    return scan.source_tables(scan.extracted(spark.createDataFrame(corpus.FILES, "path string, language string, content string")))
+
+
+FLAGS = ("in_catch", "in_closure", "in_defer", "in_goroutine", "in_if_block", "in_loop", "in_select", "in_switch", "in_try_except", "is_async")
+
+
+def _of(language: str, column: str = "module") -> Column:
+    return F.col(column) == corpus.MODULES[language]
+
+
+def _source_queries(language: str) -> dict[str, Query]:
+    parsed = lambda s: _corpus(s).sites.where((F.col("source_rank") == 0) & _of(language))
+    hint = lambda p, sep: F.coalesce(F.concat(F.lit(sep), p), F.lit(""))
+    param = lambda p: F.concat(p["name"], hint(p["type_hint"], ":"), hint(p["default"], "="))
+
+    def sites(spark: SparkSession, d: str) -> DataFrame:
+        return parsed(spark).select("line", "level", "function", "class_name", "message_template")
+
+    def signatures(spark: SparkSession, d: str) -> DataFrame:
+        flags = F.array_compact(F.array(*[F.when(F.col(f), F.lit(f)) for f in FLAGS], F.when(F.col("signature.is_async"), F.lit("sig_async"))))
+        params = F.array_join(F.transform("signature.parameters", param), ",")
+        return parsed(spark).select("line", F.array_join(flags, ",").alias("flags"), params.alias("parameters"), F.col("signature.return_type").alias("result"))
+
+    def models(spark: SparkSession, d: str) -> DataFrame:
+        return _corpus(spark).models.where(_of(language)).select("name", "line", F.array_join("base_classes", ",").alias("bases"), F.array_join(F.transform("fields", param), ",").alias("fields"))
+
+    return {
+        f"{language}_sites": sites,
+        f"{language}_signatures": signatures,
+        f"{language}_models": models,
+        f"{language}_imports": lambda s, d: _corpus(s).imports.where(_of(language)).select("import"),
+        f"{language}_functions": lambda s, d: _corpus(s).functions.where(_of(language)).select("function"),
+        f"{language}_calls": lambda s, d: _corpus(s).calls.where(F.startswith("caller", F.lit(corpus.MODULES[language] + "."))).select("caller", "callee"),
+    }
+
+
+def regex_fallback_sites(spark: SparkSession, d: str) -> DataFrame:
+    return _corpus(spark).sites.where("source_rank = 1").select("line", "level", "message_template")
+
+
+def module_paths(spark: SparkSession, d: str) -> DataFrame:
+    files = spark.createDataFrame(corpus.FILES, "path string, language string, content string")
+    return files.select("path", T.module_path(F.col("path"), F.col("language")).alias("module"))
+
+
+def source_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of the small source tree: the parsed sites win over those of the text pattern on the same line."""
+    return scan.scan_nodes(_corpus(spark)).select("file", "line", "module", "function", "level", "message_template")
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "error_rate_by_origin": error_rate_by_origin,
@@ -253,5 +306,10 @@ def queries() -> dict[str, Query]:
         "page_link_hosts": page_link_hosts,
         "log_levels_normalized": log_levels_normalized,
         "stream_enrich_equals_batch": stream_enrich_equals_batch,
+        "regex_fallback_sites": regex_fallback_sites,
+        "module_paths": module_paths,
+        "source_nodes": source_nodes,
     }
+    for language in corpus.MODULES:
+        q |= _source_queries(language)
     return q
