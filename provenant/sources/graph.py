@@ -62,7 +62,7 @@ def load_graph(spark: SparkSession, path: str | None = None) -> Graph | None:
 def find_graph(path: str | None = None, start: str | None = None, levels: int = 20) -> str | None:
     """A given path, else the one an environment variable names, else the first found from a folder upwards."""
     if path is not None:
-        return path if os.path.isfile(path) else None
+        return os.path.abspath(path) if os.path.isfile(path) else None
     named = os.environ.get(VARIABLE)
     if named and os.path.isfile(named):
         return named
