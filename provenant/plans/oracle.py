@@ -123,7 +123,7 @@ def _values(columns: str, rows: tuple) -> str:
     """A query whose rows are written out."""
 
     def literal(x: object) -> str:
-        return "null" if x is None else str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
+        return "cast(null as varchar)" if x is None else str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
 
     return f"select * from (values {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) v({columns})"
 
