@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import column, materialize, text_bytes
+from provenant.llm.common import column, materialize, split_by_key, text_bytes
 from provenant.llm.components import connected_components
 from provenant.llm.hamming import hamming_links
 
@@ -92,5 +92,6 @@ def simhash_dedup(documents: DataFrame, max_bits: int = 3, shingle_words: int =
     same doc_id all stay. Rows with a null doc_id stay.
     """
     groups = simhash_groups(documents, max_bits, shingle_words)
-    drop = groups.where("doc_id is not null and component_id < doc_id").select("doc_id")
-    return documents.join(drop, "doc_id", "left_anti")
+    drop = materialize(groups.where("doc_id is not null and component_id < doc_id").select("doc_id").distinct(), "simhash-drop")
+    some, clean = split_by_key(documents, drop, "doc_id", "doc_id")
+    return clean.unionByName(some.join(drop, "doc_id", "left_anti"))
