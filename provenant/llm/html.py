@@ -232,19 +232,19 @@ def low_importance(pages: DataFrame, threshold: float = 0.3, least_pages: int =
     """
     counts = style_rows(pages).groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("n"), F.max("path").alias("path"))
     counts = materialize(counts, "style-counts")
+    n = F.col("n").cast("double")
+    # sums by node first, then the host's number of pages: a host of very many pages is reduced before it meets it
+    entropy = F.sum(n * F.log(n)).alias("nlogn"), F.sum("n").alias("total")
+    below = counts.where(F.col("kind") == TEXT).select("host", F.explode("path").alias("node"), "n").groupBy("host", "node").agg(*entropy)
+    looks = counts.where(F.col("kind") == LOOK).groupBy("host", "node").agg(*entropy, F.count("*").alias("l"))
     sizes = pages.groupBy("host").agg(F.count("*").alias("m")).where(F.col("m") >= least_pages)
-    counts = counts.join(sizes, "host")
     base = F.log(F.col("m").cast("double"))
-    n = F.col("n").cast("double")
-    below = counts.where(F.col("kind") == TEXT).select("host", F.explode("path").alias("node"), "n", (n * F.log(n) / base).alias("h"))
-    below = below.groupBy("host", "node").agg((1 - F.sum("h") / F.sum("n")).alias("content"))
-    looks = counts.where(F.col("kind") == LOOK).groupBy("host", "node").agg(F.sum("n").alias("total"), F.count("*").alias("l"), F.sum(n * F.log(n)).alias("nlogn"), F.first("m").alias("m"))
+    below = below.join(sizes, "host").select("host", "node", "m", (1 - F.col("nlogn") / base / F.col("total")).alias("content"))
     # -sum p log p = log total - sum n log n / total
-    look = (F.log(F.col("total").cast("double")) - F.col("nlogn") / F.col("total")) / base
-    looks = looks.select("host", "node", "l", look.alias("look"))
+    looks = looks.select("host", "node", "l", (F.log(F.col("total").cast("double")) - F.col("nlogn") / F.col("total")).alias("spread"))
     both = below.join(looks, ["host", "node"], "left")
     weight = F.pow(F.lit(GAMMA), F.coalesce(F.col("l"), F.lit(0)))
-    importance = (1 - weight) * F.coalesce("look", F.lit(0.0)) + weight * F.col("content")
+    importance = (1 - weight) * F.coalesce(F.col("spread") / base, F.lit(0.0)) + weight * F.col("content")
     return both.where(importance < threshold).groupBy("host").agg(F.collect_set("node").alias("low"))
 
 
