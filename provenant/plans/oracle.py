@@ -228,8 +228,19 @@ def oracle_sql() -> dict[str, str]:
             select file, line, message from (select *, row_number() over (partition by file, line order by source_rank, ord) as r from s) x where r = 1""",
         "go_line_candidates": """with s as (select p_brand as file, p_size as line, p_partkey as ord, p_partkey % 4 = 0 as terminal, p_name as method from part)
             select file, line, ord, method from (select *, row_number() over (partition by file, line order by case when terminal then 0 else 1 end, case when terminal then ord else -ord end) as r from s) x where r = 1""",
-        "page_link_hosts": """select page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))), ',') as links from pages""",
-        "log_levels_normalized": "select event_id, case event_type when 'error' then 'error' when 'view' then 'debug' when 'click' then 'info' end as level from events",
+        "page_links": """select page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))), ',') as links from pages""",
+        "level_normalize_go": "select event_id, case event_type when 'error' then 'error' when 'view' then 'debug' when 'click' then 'info' end as level from events",
+    }
+    sql |= {
+        "level_normalize_ts": "select event_id, case event_type when 'error' then 'error' when 'view' then 'debug' when 'click' then 'info' when 'purchase' then 'critical' end as level from events",
+        "go_function_names": "select p_partkey, case when p_partkey % 2 = 1 then 'Store' || cast(p_size as varchar) || '.Load' else 'Run' end as function from part",
+        "plain_names": _with("call_nodes") + "select node_id, lower(replace(string_split(function, '.')[-1], '_', '')) as plain from call_nodes",
+        "kql_filters": _with_nodes().rstrip() + f", {TAGGED_NODES} select node_id, module, function from tagged where level = 'error' and list_contains(string_split(tags, ','), 'retry') and starts_with(module, 'app.brand1')",
+        "json_events_decoded": "select event_id, case when event_id % 4 <> 0 then cast(json_extract_string(props, '$.k') as bigint) end as k from events",
+        "ndjson_bulk": _with_nodes().rstrip() + f""", {TAGGED_NODES} select node_id,
+            cast(to_json({{'index': {{'_index': 'provenance-enrichment', '_id': node_id}}}}) as varchar) || chr(10) ||
+            cast(to_json({{'provenance': {{'node_id': node_id, 'module': module, 'function': function, 'file': file, 'line': line, 'level': level, 'tags': case when tags = '' then [] else string_split(tags, ',') end,
+              'message_template': message_template, 'call_parents': [], 'call_children': [], 'call_parent_names': [], 'call_child_names': [], 'graph_version': '2024-01-01T00:00:00', 'commit_sha': 'abc', 'branch': null}}}}) as varchar) as value from tagged""",
     }
     for q in ("stream_enrich_equals_batch",):
         sql[q] = sql["enrich_logs"]

@@ -174,16 +174,50 @@ def go_line_candidates(spark: SparkSession, d: str) -> DataFrame:
     return nodes.go_line_candidates(s).select("file", "line", "ord", "method")
 
 
-def page_link_hosts(spark: SparkSession, d: str) -> DataFrame:
+def page_links(spark: SparkSession, d: str) -> DataFrame:
     found = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
     return table(spark, d, "pages").select("page_id", joined(found).alias("links"))
 
 
-def log_levels_normalized(spark: SparkSession, d: str) -> DataFrame:
+def level_normalize_go(spark: SparkSession, d: str) -> DataFrame:
     method = F.element_at(F.create_map(*[F.lit(x) for x in ("error", "Errorf", "view", "Debugw", "click", "Println")]), F.col("event_type"))
     return table(spark, d, "events").select("event_id", T.mapped_level(method, C.GO_LEVELS).alias("level"))
 
 
+def level_normalize_ts(spark: SparkSession, d: str) -> DataFrame:
+    method = F.element_at(F.create_map(*[F.lit(x) for x in ("error", "error", "view", "trace", "click", "log", "purchase", "fatal")]), F.col("event_type"))
+    return table(spark, d, "events").select("event_id", T.mapped_level(method, C.TS_LEVELS).alias("level"))
+
+
+def go_function_names(spark: SparkSession, d: str) -> DataFrame:
+    method = F.concat(F.lit("example.org/pkg/"), F.lower("p_type"), F.lit(".(*Store"), F.col("p_size").cast("string"), F.lit(").Load"))
+    full = F.when(F.col("p_partkey") % 2 == 1, method).otherwise(F.concat(F.lower("p_type"), F.lit(".Run")))
+    return table(spark, d, "part").select("p_partkey", T.go_function_name(full).alias("function"))
+
+
+def plain_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "call_nodes").select("node_id", T.plain_name(F.concat("module", F.lit("."), "function")).alias("plain"))
+
+
+def kql_filters(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes by term, tag and prefix together."""
+    n = _nodes(spark, d)
+    return n.where((F.col("level") == "error") & F.array_contains("semantic_tags", "retry") & F.startswith("module", F.lit("app.brand1"))).select("node_id", "module", "function")
+
+
+def json_events_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of messages that are JSON objects; others have none."""
+    e = table(spark, d, "events").withColumn("line", F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("text "), "props")).otherwise(F.col("props")))
+    decoded = F.when(F.startswith("line", F.lit("{")), F.from_json("line", "k long"))
+    return e.select("event_id", decoded["k"].alias("k"))
+
+
+def ndjson_bulk(spark: SparkSession, d: str) -> DataFrame:
+    from provenant.sinks.documents import bulk_lines
+
+    return bulk_lines(_dimension(spark, d))
+
+
 def stream_enrich_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     """Logs through the streaming plan, fed all at once, read back from its sink."""
     from provenant.streaming.enrich import run_available
@@ -303,8 +337,14 @@ def queries() -> dict[str, Query]:
         "incremental_delta": incremental_delta,
         "dedup_sites_first_wins": dedup_sites_first_wins,
         "go_line_candidates": go_line_candidates,
-        "page_link_hosts": page_link_hosts,
-        "log_levels_normalized": log_levels_normalized,
+        "page_links": page_links,
+        "level_normalize_go": level_normalize_go,
+        "level_normalize_ts": level_normalize_ts,
+        "go_function_names": go_function_names,
+        "plain_names": plain_names,
+        "kql_filters": kql_filters,
+        "json_events_decoded": json_events_decoded,
+        "ndjson_bulk": ndjson_bulk,
         "stream_enrich_equals_batch": stream_enrich_equals_batch,
         "regex_fallback_sites": regex_fallback_sites,
         "module_paths": module_paths,
