@@ -38,7 +38,9 @@ _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3}
 _IP = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)")
 _CARD = re.compile(r"(?<![\d.])\d(?:[ \-]?\d){12,18}(?!\d)")
 _SSN = re.compile(r"(?<![\d\-])\d{3}-\d\d-\d{4}(?![\d\-])")
-_PHONE = re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4}(?!\w)|(?<![\w.+])\+\d{8,15}(?!\w)")
+_PHONE = re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,8}){1,5}(?!\w)|(?<![\w.+])\+\d{8,15}(?!\w)")
+#: Thousands of a large number, not a telephone.
+_GROUPED = re.compile(r"\d{1,3}(?:[ .]\d{3})+\Z")
 _DATE = re.compile(r"\d{4}[.\- ]\d\d?[.\- ]\d\d?\Z|\d\d?[.\- ]\d\d?[.\- ]\d{4}\Z")
 
 Span = tuple[int, int, str, str]
@@ -91,7 +93,7 @@ def _numbers(text: str) -> Iterator[Span]:
         s = m[0]
         digits = re.sub(r"\D", "", s)
         told = s[0] == "+" or "(" in s or len(re.findall(r"[ .\-]", s)) >= 2
-        if 7 <= len(digits) <= 15 and told and not _DATE.match(s):
+        if 7 <= len(digits) <= 15 and told and not _DATE.match(s) and not _GROUPED.match(s):
             code = re.match(r"\+(\d{1,3})(?=\D)", s)
             yield m.start(), m.end(), "phone", f"+{code[1]}|{digits[len(code[1]) :]}" if code else "|" + digits
 

@@ -16,6 +16,8 @@ KEY = b"k"
         ("A.B@C.ORG!!", [("email", "a.b@c.org")]),
         ("call +1 (068) 555-2748 x", [("phone", "+1|0685552748")]),
         ("(02) 555 27 48", [("phone", "|025552748")]),
+        ("ring +49 30 1234567 or 555-123-4567", [("phone", "+49|301234567"), ("phone", "|5551234567")]),
+        ("worth 12 345 678 or 1.234.567.890 on 2021-12-31", []),
         ("at 169.122.221.182.", [("ip", "169.122.221.182")]),
         ("999.1.1.1 and 1.2.3", []),
         ("card 4952935900253052, 4539 5787 6362 1486", [("card", "4952935900253052"), ("card", "4539578763621486")]),
