@@ -12,6 +12,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -132,12 +133,12 @@ def entities(text: str) -> list[Span]:
                 names.append((at, at + len(part), known[part], part.lower()))
                 at += len(part) + 1
     rank = {"secret": 0, "email": 1, "iban": 2, "ip": 3, "card": 4, "ssn": 5, "phone": 6}
-    taken, out = [], []
+    out: list[Span] = []  # disjoint and in order
     for span in sorted(set(found + names), key=lambda s: (rank.get(s[2], 7), s[0])):
-        if all(span[1] <= a or span[0] >= b for a, b in taken):
-            taken.append(span[:2])
-            out.append(span)
-    return sorted(out)
+        at = bisect(out, span)
+        if (not at or out[at - 1][1] <= span[0]) and (at == len(out) or span[1] <= out[at][0]):
+            out.insert(at, span)
+    return out
 
 
 class _Draw:

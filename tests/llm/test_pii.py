@@ -34,6 +34,11 @@ def test_entities(text, want):
     assert [(k, v) for _, _, k, v in pii.entities(text)] == want
 
 
+def test_many_entities_in_one_text():
+    text = " ".join(f"u{i}@x.org 10.0.{i % 250}.{i % 7}" for i in range(20_000))
+    assert len(pii.entities(text)) == 40_000
+
+
 def test_surrogates_keep_type_and_format():
     for kind, value in [("email", "the.72@mail3.example.com"), ("ip", "9.12.221.1"), ("card", "4539578763621486"), ("card", "4539578763621487"), ("iban", "DE89370400440532013000"), ("phone", "+1|0685552748"), ("secret", "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"), ("ssn", "123456789")]:
         new = pii.surrogate(KEY, kind, value, 0)
