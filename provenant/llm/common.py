@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Rows that go to Python at once, and that come back.
+ARROW_ROWS, SLICE = 1000, 500
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder every executor can reach: spark.checkpoint.dir, or a local one where it is unset (tests).
+
+    Whole texts are wide rows: batches for Python are kept small, so that
+    long ones fit beside each other in an executor's memory.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
@@ -35,9 +44,43 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables written inside each finished() that is under way.
+_written: list[list[str]] = []
+
+
+def finished(make: Callable[[], DataFrame], spark: SparkSession, tag: str) -> DataFrame:
+    """The rows of make(), written; the tables that make() wrote on the way are deleted, as nothing needs them any more."""
+    _written.append([])
+    try:
+        df = make()
+    finally:
+        paths = _written.pop()
+    out = materialize(df, tag)
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return out
+
+
+def rewritten(df: DataFrame, helper: str, new_text: Callable[[str | None, object], str | None], keep: bool = False) -> DataFrame:
+    """df with text = new_text(text, helper column); the helper column goes unless kept."""
+    names = [c for c in df.columns if keep or c != helper]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, SLICE):
+                part = batch.slice(first, SLICE)
+                texts = [new_text(t.as_py(), h.as_py()) for t, h in zip(column(part, "text"), column(part, helper))]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else column(part, c) for c in names], names=names)
+
+    return df.mapInArrow(of, df.select(*[f"`{c}`" for c in names]).schema)
+
+
 def word_count(text):
     """Number of words of a text column, 0 for null; built-in functions only."""
     parts = F.split(F.regexp_replace(text, rf"^{WORD_GAP}|{WORD_GAP}\z", ""), WORD_GAP)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import column, group_starts, materialize, split_by_key, whole_groups
+from provenant.llm.common import column, finished, group_starts, materialize, rewritten, split_by_key, whole_groups
 from provenant.llm.components import connected_components
 from provenant.llm.hamming import hamming_links, trie_join
 
@@ -238,27 +238,23 @@ def dedup_lines(documents: DataFrame, similarity: float = 0.9, max_bits: int = 3
     Other columns are carried along; an empty table gives an empty result.
     """
     keyed = _keyed(documents)
-    drops = materialize(dropped_lines(keyed, similarity, max_bits), "line-drops").select(F.col("key").alias("__line_key"), F.col("lines").alias("__drop"))
+    drops = finished(lambda: dropped_lines(keyed, similarity, max_bits), documents.sparkSession, "line-drops")
+    drops = drops.select(F.col("key").alias("__line_key"), F.col("lines").alias("__drop"))
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     losing, intact = split_by_key(keyed.withColumn("__lines", count), drops, "__line_key", "__line_key")
+
     names = [f"`{n}`" for n in documents.columns]
     intact = intact.select(*names, "__lines", F.col("__lines").alias("__kept"))
-    joined = losing.join(drops, "__line_key", "left")
-
-    @F.pandas_udf("string")
-    def rest(text, drop):
-        out = []
-        for t, d in zip(text, drop):
-            if d is None or t is None:
-                out.append(t)
-            else:
-                gone = set(d.tolist())
-                out.append("\n".join(line for k, line in enumerate(t.split("\n")) if k not in gone))
-        return type(text)(out, dtype=object)
-
     kept = (F.col("__lines") - F.coalesce(F.size("__drop"), F.lit(0))).alias("__kept")
-    cut = [rest("text", "__drop").alias("text") if n == "text" else F.col(f"`{n}`") for n in documents.columns]
-    return intact.unionByName(joined.select(*cut, "__lines", kept))
+    joined = losing.join(drops, "__line_key", "left").select(*names, "__lines", kept, "__drop")
+    return intact.unionByName(rewritten(joined, "__drop", _without))
+
+
+def _without(text: str | None, drop: list[int] | None) -> str | None:
+    if text is None or drop is None:
+        return text
+    gone = set(drop)
+    return "\n".join(line for k, line in enumerate(text.split("\n")) if k not in gone)
 
 
 def op2_line_dedup(documents: DataFrame) -> DataFrame:

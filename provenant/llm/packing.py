@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 import tiktoken
@@ -255,8 +254,8 @@ def bin_completion(counts: np.ndarray, capacity: int, branches: int = 4, nodes:
     return best
 
 
-def slots(packing: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
-    """For each length, which ranks go to which bins, and where in them."""
+def slots(packing: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, list[int]]]:
+    """For each length, which ranks go to which bins, and where in them: length, first, after, base, offsets."""
     rows, taken, base = [], Counter(), 0
     for items, times in packing:
         places: dict[int, list[int]] = {}
@@ -269,7 +268,7 @@ def slots(packing: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
             taken[length] += times * len(offsets)
             rows.append((length, first, taken[length], base, offsets))
         base += times
-    return pd.DataFrame(rows, columns=["slot_length", "first", "after", "base", "offsets"])
+    return rows
 
 
 def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -281,7 +280,7 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
         counts[row["length"]] = row["count"]
     plan = slots(bin_completion(counts, capacity))
     schema = "slot_length long, first long, after long, base long, offsets array<long>"
-    table = spark.createDataFrame(plan, schema) if len(plan) else spark.createDataFrame([], schema)
+    table = spark.createDataFrame(plan, schema)
     buckets = 1 + int(counts.sum()) // RANKED_ROWS
     salted = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")

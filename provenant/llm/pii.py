@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import column, materialize, split_by_key
+from provenant.llm.common import column, finished, materialize, rewritten, split_by_key
 
 #: Titles that announce a name, by the gender they tell ("" for none).
 TITLES = {
@@ -251,15 +251,20 @@ def surrogates(values: DataFrame, key: bytes) -> DataFrame:
     a fixed one is never given up, so each round settles more.
     """
 
-    @F.pandas_udf("string")
-    def drawn(kind, value, attempt):
-        return type(kind)([surrogate(key, *x) for x in zip(kind, value, attempt.tolist())], dtype=object)
+    def drawn(rows: DataFrame, attempt: int) -> DataFrame:
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kinds, values = column(batch, "kind"), column(batch, "value")
+                new = [surrogate(key, k.as_py(), v.as_py(), attempt) for k, v in zip(kinds, values)]
+                yield pa.RecordBatch.from_arrays([kinds, values, pa.array(new, pa.string())], names=["kind", "value", "new"])
+
+        return rows.mapInArrow(of, "kind string, value string, new string")
 
     values = materialize(values.select("kind", "value").distinct(), "pii-values")
     real = values.select("kind", F.col("value").alias("new"))
     open_, settled, attempt = values, None, 0
     while True:
-        tried = materialize(open_.withColumn("new", drawn("kind", "value", F.lit(attempt))), "pii-tried")
+        tried = materialize(drawn(open_, attempt), "pii-tried")
         first = tried.groupBy("kind", "new").agg(F.min("value").alias("value"))
         fine = first.join(real, ["kind", "new"], "left_anti")
         if settled is not None:
@@ -282,32 +287,29 @@ def pseudonymize(documents: DataFrame, key: bytes = b"provenant") -> DataFrame:
     Other columns are carried along; an empty table gives an empty result.
     """
     keyed = documents.withColumn("__pii_key", F.xxhash64("doc_id", "text"))
-    spans = materialize(found_entities(keyed.select(F.col("__pii_key").alias("key"), "text")).distinct(), "pii-spans")
-    new = surrogates(spans, key)
-    each = F.struct("start", "stop", "kind", "new")
-    lists = spans.join(new, ["kind", "value"]).groupBy("key").agg(F.array_sort(F.collect_list(each)).alias("__entities"))
-    lists = materialize(lists, "pii-lists").withColumnRenamed("key", "__pii_key")
+    source = keyed.select(F.col("__pii_key").alias("key"), "text")
+
+    def listed() -> DataFrame:
+        spans = materialize(found_entities(source).distinct(), "pii-spans")
+        each = F.struct("start", "stop", "kind", "new")
+        return spans.join(surrogates(spans, key), ["kind", "value"]).groupBy("key").agg(F.array_sort(F.collect_list(each)).alias("__entities"))
+
+    lists = finished(listed, documents.sparkSession, "pii-lists").withColumnRenamed("key", "__pii_key")
     told, clean = split_by_key(keyed, lists, "__pii_key", "__pii_key")
     names = [f"`{n}`" for n in documents.columns]
-    clean = clean.select(*names, F.expr("cast(array() as array<struct<start:int,stop:int,kind:string,new:string>>)").alias("__entities"))
-    told = told.join(lists, "__pii_key", "left")
-
-    @F.pandas_udf("string")
-    def replaced(text, entities_):
-        out = []
-        for t, spans_ in zip(text, entities_):
-            if t is None or spans_ is None:
-                out.append(t)
-                continue
-            parts, at = [], 0
-            for s in spans_:
-                parts += [t[at : s["start"]], formatted(t[s["start"] : s["stop"]], s["kind"], s["new"])]
-                at = s["stop"]
-            out.append("".join([*parts, t[at:]]))
-        return type(text)(out, dtype=object)
-
-    cut = [replaced("text", "__entities").alias("text") if n == "text" else F.col(f"`{n}`") for n in documents.columns]
-    return clean.unionByName(told.select(*cut, F.coalesce("__entities", F.expr("cast(array() as array<struct<start:int,stop:int,kind:string,new:string>>)")).alias("__entities")))
+    none = F.expr("cast(array() as array<struct<start:int,stop:int,kind:string,new:string>>)")
+    told = told.join(lists, "__pii_key", "left").select(*names, F.coalesce("__entities", none).alias("__entities"))
+    return clean.select(*names, none.alias("__entities")).unionByName(rewritten(told, "__entities", _replaced, keep=True))
+
+
+def _replaced(text: str | None, spans: list[dict]) -> str | None:
+    if text is None or not spans:
+        return text
+    parts, at = [], 0
+    for s in spans:
+        parts += [text[at : s["start"]], formatted(text[s["start"] : s["stop"]], s["kind"], s["new"])]
+        at = s["stop"]
+    return "".join([*parts, text[at:]])
 
 
 def op9_pii(documents: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import column, materialize, split_by_key, text_bytes
+from provenant.llm.common import column, finished, materialize, split_by_key, text_bytes
 from provenant.llm.components import connected_components
 from provenant.llm.hamming import hamming_links
 
@@ -91,7 +91,7 @@ def simhash_dedup(documents: DataFrame, max_bits: int = 3, shingle_words: int =
     Needs unique doc_ids to keep one row per group; of repeated rows with the
     same doc_id all stay. Rows with a null doc_id stay.
     """
-    groups = simhash_groups(documents, max_bits, shingle_words)
-    drop = materialize(groups.where("doc_id is not null and component_id < doc_id").select("doc_id").distinct(), "simhash-drop")
+    copies = lambda: simhash_groups(documents, max_bits, shingle_words).where("doc_id is not null and component_id < doc_id").select("doc_id").distinct()
+    drop = finished(copies, documents.sparkSession, "simhash-drop")
     some, clean = split_by_key(documents, drop, "doc_id", "doc_id")
     return clean.unionByName(some.join(drop, "doc_id", "left_anti"))
