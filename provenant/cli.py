@@ -103,7 +103,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     elif args.command == "viz":
         documents.html_graph(nodes, args.output, project.graph.project)
     elif args.command == "export":
-        documents.export_ndjson(project.dimension, args.output, args.index, f"{args.output}-mapping.json")
+        # the JVM has a working folder of its own
+        target = args.output if "://" in args.output else f"file://{Path(args.output).resolve()}"
+        documents.export_ndjson(project.dimension, target, args.index, f"{args.output}-mapping.json")
     elif args.command == "lint":
         sites = scan.source_tables(scan.extracted(scan.source_files(spark, args.source, langs))).sites.select("file", "line")
         new, stale = compare.lint_untracked(sites, nodes), compare.lint_stale(sites, nodes)
