@@ -1,4 +1,4 @@
-"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, verified edit similarity, one occurrence per group.
+"""Fuzzy line dedup: SimHash and MinHash of normalised lines, pigeonhole blocks and bands, verified edit similarity, one occurrence per group.
 
 Texts travel only where they must: lines are known by hashes until a pair is
 to be verified, and then only lines that have a candidate are fetched.
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenant.llm.common import column, finished, group_starts, materialize, rewritten, split_by_key, whole_groups
@@ -27,6 +27,9 @@ FEW_WORDS = 8
 FUZZY_CHARS = 20
 #: Features hashed at once, and words remembered.
 CHUNK, KNOWN = 65_536, 400_000
+#: Lines that share all ROWS smallest hashes of a band, over byte 5-grams, are compared too: SimHash alone finds few similar lines.
+GRAM, ROWS, BANDS = 5, 4, 8
+_TURNS = (np.random.default_rng(11).integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 
 
 class _Hashes(dict):
@@ -64,20 +67,43 @@ def majorities(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.packbits(2 * count > n[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
+def band_marks(lines: list[bytes]) -> np.ndarray:
+    """(n, BANDS) 32-bit marks of lines of at least GRAM bytes; lines of equal 5-gram sets have equal marks."""
+    if not lines:
+        return np.empty((0, BANDS), dtype=np.int32)
+    size = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    data = np.frombuffer(b"".join(lines), dtype=np.uint8).astype(np.uint32)
+    gram = np.zeros(len(data), dtype=np.uint32)
+    for k in range(GRAM):
+        gram[: len(data) - GRAM + 1] = gram[: len(data) - GRAM + 1] * np.uint32(0x01000193) + data[k : len(data) - GRAM + 1 + k]
+    for shift, turn in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        gram = (gram ^ (gram >> np.uint32(shift))) * np.uint32(turn)
+    # the last GRAM - 1 places of a line run into the next one: they are odd runs, left out
+    end = np.cumsum(size)
+    edges = np.stack([end - size, end - GRAM + 1], axis=1).reshape(-1)
+    marks = np.zeros((len(lines), BANDS), dtype=np.uint32)
+    for k, turn in enumerate(_TURNS):
+        least = np.minimum.reduceat(gram * turn, edges)[::2]
+        marks[:, k // ROWS] = (marks[:, k // ROWS] ^ least) * np.uint32(0x9E3779B1) + np.uint32(k)
+    return marks.view(np.int32)
+
+
 def line_table(documents: DataFrame) -> DataFrame:
-    """doc_id, key, line_no, h, fp, chars of every line with words; key stands for the row's id and text."""
+    """doc_id, key, line_no, h, fp, chars, marks of every line with words; key stands for the row's id and text, short lines have no marks."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
             ids, keys, texts = (column(batch, x) for x in ("doc_id", "key", "text"))
-            row, number, h, chars, starts, values, size = [], [], [], [], [], [], 0
+            row, number, h, chars, starts, values, long, size = [], [], [], [], [], [], [], 0
 
             def made() -> pa.RecordBatch:
                 fp = majorities(np.frombuffer(b"".join(values), dtype="<u8"), np.array(starts)) if starts else np.empty(0, dtype=np.uint64)
                 at = pa.array(row, pa.int64())
-                arrays = [ids.take(at), keys.take(at), pa.array(number, pa.int32()), pa.array(np.array(h, dtype=np.uint64).view(np.int64)), pa.array(fp.view(np.int64)), pa.array(chars, pa.int32())]
-                return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "line_no", "h", "fp", "chars"])
+                far = np.concatenate([[0], np.cumsum(np.array(chars, dtype=np.int64) >= FUZZY_CHARS) * BANDS]).astype(np.int32)
+                marks = pa.ListArray.from_arrays(pa.array(far), pa.array(band_marks(long).reshape(-1)))
+                arrays = [ids.take(at), keys.take(at), pa.array(number, pa.int32()), pa.array(np.array(h, dtype=np.uint64).view(np.int64)), pa.array(fp.view(np.int64)), pa.array(chars, pa.int32()), marks]
+                return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "line_no", "h", "fp", "chars", "marks"])
 
             for k in range(batch.num_rows):
                 for n, words in enumerate(normalized_lines(texts[k].as_py() or "")):
@@ -88,16 +114,18 @@ def line_table(documents: DataFrame) -> DataFrame:
                     number.append(n)
                     h.append(xxhash.xxh64_intdigest(line))
                     chars.append(len(line))
+                    if len(line) >= FUZZY_CHARS:
+                        long.append(line)
                     starts.append(size)
                     features = _features(words, line)
                     values.extend(map(hashes.__getitem__, features))
                     size += len(features)
                     if size >= CHUNK:
                         yield made()
-                        row, number, h, chars, starts, values, size = [], [], [], [], [], [], 0
+                        row, number, h, chars, starts, values, long, size = [], [], [], [], [], [], [], 0
             yield made()
 
-    return documents.select("doc_id", "key", "text").mapInArrow(of, "doc_id long, key long, line_no int, h long, fp long, chars int")
+    return documents.select("doc_id", "key", "text").mapInArrow(of, "doc_id long, key long, line_no int, h long, fp long, chars int, marks array<int>")
 
 
 def edit_within(a: str, b: str, limit: int) -> bool:
@@ -180,6 +208,77 @@ def verified_links(lines: DataFrame, max_bits: int, similarity: float, capacity:
     return rows.mapInArrow(of, "src long, dst long")
 
 
+def _similar(text: list[str], marks: np.ndarray, band: int, chunk: np.ndarray, similarity: float) -> np.ndarray:
+    """Smallest linked index of each line of a block, shortest lines first.
+
+    Lengths and letter counts rule pairs out that cannot be similar enough. A
+    pair that meets in an earlier band is left to that one, a pair of one
+    chunk to the chunk's own block.
+    """
+    n = len(text)
+    size = np.fromiter(map(len, text), dtype=np.int64, count=n)
+    letters = np.zeros((n, 64), dtype=np.int32)
+    for k, x in enumerate(text):
+        letters[k] = np.bincount(np.frombuffer(x.encode("utf-32-le"), "<u4") & 63, minlength=64)
+    apart = len(np.unique(chunk)) > 1
+    label = np.arange(n)
+    for x in range(n - 1):
+        y = np.arange(x + 1, np.searchsorted(size, int(size[x] / similarity + 1e-6), side="right"))
+        y = y[label[y] != label[x]]
+        if apart:
+            y = y[chunk[y] != chunk[x]]
+        y = y[~(marks[y, :band] == marks[x, :band]).any(axis=1)]
+        limit = ((1 - similarity) * size[y] + 1e-9).astype(np.int64)
+        more = letters[y] - letters[x]
+        near = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1)) <= limit
+        for j, most in zip(y[near].tolist(), limit[near].tolist()):
+            if label[j] != label[x] and edit_within(text[x], text[j], most):
+                label[label == max(label[j], label[x])] = min(label[j], label[x])
+    return label
+
+
+def shared_bands(lines: DataFrame) -> DataFrame:
+    """root, band, h of lines(h unique, marks): which lines meet under a mark of a band; of groups of the same lines only that of the first band."""
+    rows = lines.select("h", F.posexplode("marks").alias("band", "mark"))
+    rows = rows.select("h", F.xxhash64("mark", "band").bitwiseAND(F.lit(-BANDS)).bitwiseOR(F.col("band").cast("long")).alias("root"))
+    all_of = Window.partitionBy("root")
+    who = [F.count("*").over(all_of).alias("n"), *(f("h").over(all_of).alias(c) for c, f in (("least", F.min), ("most", F.max), ("mixed", F.bit_xor)))]
+    rows = materialize(rows.select("root", "h", *who).where("n > 1"), "line-met")
+    band = F.col("root").bitwiseAND(F.lit(BANDS - 1)).cast("int")
+    first = rows.groupBy("n", "least", "most", "mixed").agg(F.min_by("root", band).alias("root")).select("root")
+    return rows.join(first, "root").select("root", band.alias("band"), "h")
+
+
+def banded_links(lines: DataFrame, similarity: float, capacity: int = 4096) -> DataFrame:
+    """src, dst links of lines(root, band, h, line): pairs of one root whose edit similarity is high enough; blocks as in verified_links."""
+    counts = lines.groupBy("root").agg(F.ceil(F.count("*") / capacity).cast("int").alias("m"))
+    rows = lines.join(counts, "root").withColumn("chunk", F.pmod(F.xxhash64("h"), F.col("m")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda k: F.struct(F.least(k, "chunk").alias("i"), F.greatest(k, "chunk").alias("j")))
+    rows = rows.withColumn("b", F.explode(others)).select("root", "b.i", "b.j", "band", "chunk", "h", "line")
+    key = ["root", "i", "j"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, *key).sortWithinPartitions(*key, F.length("line"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, key, 2_000):
+            table = table.combine_chunks()
+            h, band, chunk = (table.column(x).to_numpy() for x in ("h", "band", "chunk"))
+            text = table.column("line").to_pylist()
+            marks = band_marks([x.encode() for x in text])
+            starts = group_starts(table, key).tolist()
+            src, dst = [], []
+            for a, b in zip(starts, [*starts[1:], table.num_rows]):
+                if b - a > 1:
+                    label = _similar(text[a:b], marks[a:b], int(band[a]), chunk[a:b], similarity)
+                    child = np.flatnonzero(label != np.arange(b - a))
+                    src.append(h[a:b][child])
+                    dst.append(h[a:b][label[child]])
+            none = [np.empty(0, dtype=np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src or none)), pa.array(np.concatenate(dst or none))], names=["src", "dst"])
+
+    return rows.mapInArrow(of, "src long, dst long")
+
+
 def _keyed(documents: DataFrame) -> DataFrame:
     return documents.withColumn("__line_key", F.xxhash64("doc_id", "text"))
 
@@ -189,9 +288,9 @@ def dropped_lines(documents: DataFrame, similarity: float, max_bits: int) -> Dat
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__line_key").alias("key"), "text")
     lines = materialize(line_table(rows), "lines")
     place = F.struct("doc_id", "key", "line_no")
-    nodes = lines.groupBy("h").agg(F.min("fp").alias("fp"), F.min("chars").alias("chars"), F.min(place).alias("place"), F.count("*").alias("n"))
+    nodes = lines.groupBy("h").agg(F.min("fp").alias("fp"), F.min("chars").alias("chars"), F.first("marks").alias("marks"), F.min(place).alias("place"), F.count("*").alias("n"))
     nodes = materialize(nodes, "line-nodes")
-    # candidates: other lines within max_bits, by groups that hold all of them
+    # candidates: lines that share a band of MinHashes, and lines within max_bits, by groups that hold all of them
     fuzzy = nodes.where(F.col("chars") >= FUZZY_CHARS)
     marks = fuzzy.groupBy("fp").agg(F.count("*").alias("lines"))
     near = connected_components(hamming_links(marks.select(F.col("fp").alias("node"), "fp"), max_bits))
@@ -199,7 +298,11 @@ def dropped_lines(documents: DataFrame, similarity: float, max_bits: int) -> Dat
     same = marks.where("lines > 1").select("fp").join(near, "fp", "left_anti").select("fp", F.col("fp").alias("root"))
     chosen = fuzzy.join(near.unionByName(same), "fp").select("root", "h", "fp", F.col("place.key").alias("key"), F.col("place.line_no").alias("line_no"))
     chosen = materialize(chosen, "line-candidates")
-    wanted = chosen.groupBy("key").agg(F.collect_list(F.struct("line_no", "h")).alias("want"))
+    met = materialize(shared_bands(fuzzy.select("h", "marks")), "line-bands")
+    place_of = F.col("place.key").alias("key"), F.col("place.line_no").alias("line_no")
+    found_at = fuzzy.join(met.select("h").distinct(), "h").select("h", *place_of)
+    sought = chosen.select("h", "key", "line_no").unionByName(found_at).distinct()
+    wanted = sought.groupBy("key").agg(F.collect_list(F.struct("line_no", "h")).alias("want"))
     wanted = materialize(wanted, "line-wanted")
     texts = split_by_key(rows.select("key", "text"), wanted, "key", "key")[0].join(wanted, "key")
 
@@ -213,8 +316,9 @@ def dropped_lines(documents: DataFrame, similarity: float, max_bits: int) -> Dat
                     line.append(b" ".join(words[x["line_no"]]).decode())
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(line, pa.string())], names=["h", "line"])
 
-    found = texts.select("text", "want").mapInArrow(fetched, "h long, line string").dropDuplicates(["h"])
+    found = materialize(texts.select("text", "want").mapInArrow(fetched, "h long, line string").dropDuplicates(["h"]), "line-found")
     links = verified_links(chosen.select("root", "h", "fp").join(found, "h"), max_bits, similarity)
+    links = links.unionByName(banded_links(met.join(found, "h"), similarity))
     groups = connected_components(materialize(links, "line-links")).select(F.col("node").alias("h"), F.col("component").alias("group"))
     # of a group, the first occurrence stays
     known = nodes.join(groups, "h", "left").where("n > 1 or group is not null").select("h", F.coalesce("group", "h").alias("group"), "place")
@@ -229,9 +333,10 @@ def dedup_lines(documents: DataFrame, similarity: float = 0.9, max_bits: int = 3
     """documents with repeated lines taken out of their text, and columns __lines and __kept with how many there were and stay.
 
     Lines are parted at line feeds and compared without case, ASCII marks,
-    digits' values and spacing; they link when equal so, or when their
-    SimHashes differ in at most max_bits bits and 1 - edit distance / longer
-    length is at least `similarity`. Of each connected group the occurrence
+    digits' values and spacing; they link when equal so, or when 1 - edit
+    distance / longer length is at least `similarity` and they are compared:
+    when their SimHashes differ in at most max_bits bits, or they share one
+    of BANDS bands of ROWS MinHashes each. Of each connected group the occurrence
     with the smallest doc_id (null first), then line, stays. Lines without
     words stay. A text whose lines all go becomes empty; null stays null.
     Rows that repeat both id and text count as one and keep the same lines.

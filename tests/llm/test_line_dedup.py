@@ -119,3 +119,25 @@ def test_repeated_rows_and_ids(spark):
     assert Counter((r.doc_id, r.n) for r in got) == Counter([(1, 5), (1, 5), (1, 6), (None, 7)])
     assert Counter(x for r in {(r.doc_id, r.n): r for r in got}.values() for x in r.text.split("\n") if x) == Counter(["a b c", "d e", "f g"])
     assert ld.dedup_lines(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_one_changed_letter_is_found(spark):
+    """Of similar lines few are within some bits of SimHash; nearly all are to be linked."""
+    rng = random.Random(12)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(400)]
+    lines = [" ".join(rng.choices(vocab, k=rng.randint(8, 31))) for _ in range(100)]
+    changed = []
+    for s in lines:
+        k = rng.choice([k for k, x in enumerate(s) if x != " "])
+        changed.append(s[:k] + "z" + s[k + 1 :])
+    docs = spark.createDataFrame([(1, "\n".join(lines), "k", 1), (2, "\n".join(changed), "k", 1)], SCHEMA)
+    got = {r.doc_id: r.n_kept for r in ld.op2_line_dedup(docs).collect()}
+    assert got[1] == 100 and got[2] <= 1
+
+
+def test_blocks_of_bands_are_cut(spark):
+    lines = [" ".join([f"word{k}" for k in range(40)] + [f"x{i}"]) for i in range(60)]
+    df = spark.createDataFrame([(7, 0, i, x) for i, x in enumerate(lines)], "root long, band int, h long, line string")
+    for capacity in (10, 4096):
+        links = [(r.src, r.dst) for r in ld.banded_links(df, 0.9, capacity).collect()]
+        assert set(plain_components(range(60), links).values()) == {0}
