@@ -16,7 +16,7 @@ from provenant.llm.line_dedup import dedup_lines
 from provenant.llm.mixing import mix_documents
 from provenant.llm.packing import op4_packing
 from provenant.llm.quality import keep_quality
-from provenant.llm.simhash import simhash_dedup
+from provenant.llm.simhash import jaccard_dedup
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -33,8 +33,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, and one of all that have no words left."""
-    return simhash_dedup(docs)
+    """One document of each group of near copies (Jaccard >= 0.8 of five-word shingles), and one of all that have no words left."""
+    return jaccard_dedup(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,11 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import column, finished, materialize, split_by_key, text_bytes
+from provenant.llm.common import column, finished, group_starts, materialize, split_by_key, text_bytes, whole_groups
 from provenant.llm.components import connected_components
 from provenant.llm.hamming import hamming_links
+from provenant.llm.line_dedup import BANDS, shared_bands
 
 SEED = 42
+#: MinHashes to a band; at Jaccard 0.8 a pair shares one of BANDS bands with probability 0.997.
+BAND_ROWS = 3
+_TURNS = np.random.default_rng(13).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
 
@@ -95,3 +99,86 @@ def simhash_dedup(documents: DataFrame, max_bits: int = 3, shingle_words: int =
     drop = finished(copies, documents.sparkSession, "simhash-drop")
     some, clean = split_by_key(documents, drop, "doc_id", "doc_id")
     return clean.unionByName(some.join(drop, "doc_id", "left_anti"))
+
+
+def _set_marks(shingles: np.ndarray) -> np.ndarray:
+    """BANDS 32-bit marks of a set of hashes; the empty set has zeros."""
+    if not len(shingles):
+        return np.zeros(BANDS, dtype=np.int32)
+    least = np.array([(shingles * t).min() for t in _TURNS]).reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh32_intdigest(x.tobytes()) for x in least], dtype=np.uint32).view(np.int32)
+
+
+def _sets(documents: DataFrame, width: int, full: bool) -> DataFrame:
+    """doc_id, h (of the whole set of shingles), and either the sorted set or its marks."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, out = [], []
+            for text in text_bytes(batch):
+                shingles = np.unique(shingle_hashes(text, width))
+                h.append(xxhash.xxh64_intdigest(shingles.tobytes()) - 2**63)
+                out.append(shingles.tobytes() if full else _set_marks(shingles).tolist())
+            values = pa.array(out, pa.binary() if full else pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(h, pa.int64()), values], names=["doc_id", "h", "value"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, f"doc_id long, h long, value {'binary' if full else 'array<int>'}")
+
+
+def jaccard_links(rows: DataFrame, similarity: float, capacity: int = 512) -> DataFrame:
+    """src, dst links of rows(root, h, value): pairs of one root whose sets have Jaccard similarity of at least `similarity`; large roots are cut into pairs of chunks."""
+    counts = rows.groupBy("root").agg(F.ceil(F.count("*") / capacity).cast("int").alias("m"))
+    rows = rows.join(counts, "root").withColumn("chunk", F.pmod(F.xxhash64("h"), F.col("m")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda k: F.struct(F.least(k, "chunk").alias("i"), F.greatest(k, "chunk").alias("j")))
+    rows = rows.withColumn("b", F.explode(others)).select("root", "b.i", "b.j", "h", "value")
+    key = ["root", "i", "j"]
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key, F.length("value"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, key, 500):
+            h = table.column("h").to_numpy()
+            sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("value")]
+            label = np.arange(len(h))
+            starts = group_starts(table, key).tolist()
+            for a, b in zip(starts, [*starts[1:], len(h)]):
+                for x in range(a, b - 1):
+                    for y in range(x + 1, b):
+                        p, q = sets[x], sets[y]
+                        if len(p) < similarity * len(q):
+                            break
+                        if label[x] != label[y]:
+                            both = len(np.intersect1d(p, q, assume_unique=True))
+                            if both >= similarity * (len(p) + len(q) - both):
+                                part = label[a:b]
+                                part[part == max(label[x], label[y])] = min(label[x], label[y])
+            child = np.flatnonzero(label != np.arange(len(h)))
+            yield pa.RecordBatch.from_arrays([pa.array(h[child]), pa.array(h[label[child]])], names=["src", "dst"])
+
+    return rows.mapInArrow(of, "src long, dst long")
+
+
+def jaccard_dedup(documents: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """documents without near copies: of each group linked by Jaccard similarity of word shingles the row with the smallest doc_id stays.
+
+    Words are those of simhash_groups; texts without words are copies of each
+    other. Candidates share a band of MinHashes and are verified on the whole
+    sets. Rows with a null doc_id stay; doc_ids are to be unique.
+    """
+
+    def copies() -> DataFrame:
+        some = documents.where("doc_id is not null")
+        marks = materialize(_sets(some, shingle_words, False), "jaccard-marks")
+        nodes = materialize(marks.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("value").alias("marks")), "jaccard-nodes")
+        met = materialize(shared_bands(nodes.select("h", "marks")), "jaccard-bands")
+        ask = materialize(nodes.join(met.select("h").distinct(), "h").select(F.col("first").alias("doc_id")), "jaccard-ask")
+        texts = split_by_key(some, ask, "doc_id", "doc_id")[0].join(ask, "doc_id", "left_semi")
+        sets = materialize(_sets(texts, shingle_words, True).select("h", "value").dropDuplicates(["h"]), "jaccard-sets")
+        links = materialize(jaccard_links(met.join(sets, "h").select("root", "h", "value"), similarity), "jaccard-links")
+        groups = connected_components(links).select(F.col("node").alias("h"), F.col("component").alias("root"))
+        member = nodes.join(groups, "h", "left").select("h", "first", F.coalesce("root", "h").alias("root"))
+        member = member.join(member.groupBy("root").agg(F.min("first").alias("keep")), "root").select("h", "keep")
+        return marks.join(member, "h").where("keep < doc_id").select("doc_id").distinct()
+
+    drop = finished(copies, documents.sparkSession, "jaccard-drop")
+    some, clean = split_by_key(documents, drop, "doc_id", "doc_id")
+    return clean.unionByName(some.join(drop, "doc_id", "left_anti"))

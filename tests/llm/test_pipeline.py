@@ -118,3 +118,12 @@ def test_empty_documents(spark, stages):
 def test_dedup_of_empty_texts_keeps_one(spark):
     docs = spark.createDataFrame([(1, ""), (2, None), (3, " "), (4, "some words here")], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.simhash_dedup(docs).collect()) == [1, 4]
+
+
+def test_near_copies_with_edited_words_go(spark):
+    """Two words of 100 changed leave a five-word Jaccard near 0.8 or above; all are to be dropped, and unlike texts kept."""
+    base = [[f"w{i}x{k}" for k in range(100)] for i in range(40)]
+    edited = [[*w[:30], "other", *w[31:98], "end", w[99]] for w in base]
+    docs = [(i, " ".join(w)) for i, w in enumerate(base + edited)] + [(100, " ".join(base[0][:50])), (101, ""), (102, " "), (None, "w")]
+    got = corpus_pipeline.near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [*range(40), 100, 101] and len(got) == 43
