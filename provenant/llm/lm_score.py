@@ -2,9 +2,8 @@
 
 Every token is predicted from two words on either side. A class of words has
 two digits, so a prediction is two softmaxes, exactly normalised over all
-classes. The network is fitted to windows from all over the corpus, a fixed
-share of every document, by local steps in each partition whose parameters are
-averaged after every round.
+classes. The network is fitted to the windows of all tokens of the corpus, by
+local steps in each partition whose parameters are averaged after every round.
 """
 
 from __future__ import annotations
@@ -212,11 +211,11 @@ class LanguageModel:
     net: Network
 
 
-def train(documents: DataFrame, rounds: int = 3, stride: int = 32, pieces: int = 32) -> LanguageModel:
+def train(documents: DataFrame, rounds: int = 3, stride: int = 1, pieces: int = 32) -> LanguageModel:
     """Fit classes and network to documents(text).
 
     Word counts cover all words; windows are every stride-th token of every
-    document, so both grow with the corpus. What reaches the driver is bounded
+    document (by default all tokens), so both grow with the corpus. What reaches the driver is bounded
     by the number of classes and parameters.
     """
     spark = documents.sparkSession

@@ -98,3 +98,17 @@ def test_edges(spark):
     assert lm.op5_lm_score(spark.createDataFrame([], SCHEMA)).count() == 0
     row = lm.op5_lm_score(spark.createDataFrame([(1, None, 0, "")], SCHEMA)).collect()[0]
     assert (row.n_tokens, row.log_likelihood, row.mean_log_probability) == (0, 0.0, None)
+
+
+def test_every_token_is_trained_on(spark, monkeypatch):
+    """Production's training set has a window for each token, of short documents too."""
+    docs = spark.createDataFrame([(1, "a b c", 0, ""), (2, " ".join(["d"] * 70), 0, ""), (3, None, 0, "")], SCHEMA)
+    seen = []
+
+    def count(blocks, net, pieces):
+        seen.append(sum(len(r.block) for r in blocks.collect()) // 10)
+        return net.flat()
+
+    monkeypatch.setattr(lm, "_round", count)
+    lm.train(docs, rounds=1)
+    assert seen == [73]
