@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -22,19 +23,28 @@ ARROW_ROWS, SLICE = 1000, 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a local one where it is unset (tests).
+    """The folder every executor can reach: spark.checkpoint.dir.
 
-    Whole texts are wide rows: batches for Python are kept small, so that
-    long ones fit beside each other in an executor's memory.
+    Where it is unset, a local run (one machine, as in tests) gets a folder of
+    its own, and a cluster an error. Whole texts are wide rows: batches for
+    Python are kept small, so that long ones fit beside each other in an
+    executor's memory.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that the driver and all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", path)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return path
 
 
+#: Paths of the tables written inside the finished() that is under way in this thread.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -44,22 +54,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _written:
-        _written[-1].append(path)
+    if (paths := _written.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Paths of the tables written inside each finished() that is under way.
-_written: list[list[str]] = []
-
-
 def finished(make: Callable[[], DataFrame], spark: SparkSession, tag: str) -> DataFrame:
     """The rows of make(), written; the tables that make() wrote on the way are deleted, as nothing needs them any more."""
-    _written.append([])
+    paths: list[str] = []
+    token = _written.set(paths)
     try:
         df = make()
     finally:
-        paths = _written.pop()
+        _written.reset(token)
     out = materialize(df, tag)
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -67,6 +74,22 @@ def finished(make: Callable[[], DataFrame], spark: SparkSession, tag: str) -> Da
     return out
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """A name for a helper column that no column of df has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while wish in taken:
+        wish += "_"
+    return wish
+
+
+def told_apart(rows: DataFrame, key: str, tag: str) -> tuple[DataFrame, DataFrame]:
+    """One row of each key, and the other rows; they are told apart by a number that is written with them."""
+    number = free_name(rows, "number")
+    numbered = materialize(rows.withColumn(number, F.monotonically_increasing_id()), tag)
+    one = numbered.groupBy(key).agg(F.min(number).alias(number))
+    return numbered.join(one, [key, number], "left_semi").drop(number), numbered.join(one, [key, number], "left_anti").drop(number)
+
+
 def rewritten(df: DataFrame, helper: str, new_text: Callable[[str | None, object], str | None], keep: bool = False) -> DataFrame:
     """df with text = new_text(text, helper column); the helper column goes unless kept."""
     names = [c for c in df.columns if keep or c != helper]
@@ -166,7 +189,8 @@ def split_by_key(df: DataFrame, keys: DataFrame, key: str, own: str) -> tuple[Da
     join; with very many keys more rows pass, never fewer, so a join of the
     first part stays exact.
     """
+    name = free_name(df, "spot")
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(SPOTS)).cast("int")
-    spots = F.broadcast(keys.select(spot(key).alias("__spot")).distinct())
-    marked = df.withColumn("__spot", spot(own))
-    return marked.join(spots, "__spot", "left_semi").drop("__spot"), marked.join(spots, "__spot", "left_anti").drop("__spot")
+    spots = F.broadcast(keys.select(spot(key).alias(name)).distinct())
+    marked = df.withColumn(name, spot(own))
+    return marked.join(spots, name, "left_semi").drop(name), marked.join(spots, name, "left_anti").drop(name)

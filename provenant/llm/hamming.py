@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +22,52 @@ CHUNK, FRONT = 500_000, 100_000
 def hamming_links(fingerprints: DataFrame, max_bits: int, capacity: int = 16_384) -> DataFrame:
     """src, dst links that connect the nodes of fingerprints(node long, fp long) as all pairs within max_bits do.
 
-    fp is to be unique per node pair (collapse copies first). Two words within
-    max_bits agree on one of max_bits + 1 blocks, so the trie is built once per
-    block with that block rotated to the top and no error spent on it: the
-    first levels are then an equality that a shuffle can serve. Below them the
-    trie is joined with itself, node pair by node pair, adding up differing
-    bits and dropping a pair of nodes once the budget is exceeded. A subtree
-    of more than `capacity` words is split over tasks by STEP more levels: its
-    words stay at home under their own longer prefix and probe all prefixes
-    within the budget left, as often as needed; probes of prefixes at which no
-    word lives are dropped. Each task returns a spanning
-    forest of its links, never all pairs. An empty table gives no links.
+    fp is to be unique per node pair (collapse copies first). Each task returns
+    a spanning forest of its links, never all pairs. An empty table gives no
+    links. See _trie_rows for how the trie is dealt out.
+    """
+
+    def links(node: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        child = np.flatnonzero(label != np.arange(len(label)))
+        src, dst = node[child], node[label[child]]
+        keep = src != dst
+        return src[keep], dst[keep]
+
+    return _joined(_trie_rows(fingerprints, max_bits, capacity), max_bits, links, ("src", "dst"))
+
+
+def hamming_groups(fingerprints: DataFrame, max_bits: int, capacity: int = 16_384) -> DataFrame:
+    """root, node: small groups of fingerprints(node, fp); every pair within max_bits is together in one of them.
+
+    A group is what one task has linked, so there are several of the same
+    nodes; equal groups have equal roots.
+    """
+
+    def groups(node: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(label, kind="stable")
+        size = np.bincount(label, minlength=len(label))[label[order]]
+        order = order[size > 1]
+        if not len(order):
+            return node[:0], node[:0]
+        starts = np.flatnonzero(np.concatenate([[True], label[order][1:] != label[order][:-1]]))
+        sums = np.add.reduceat(node[order].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (node[order].view(np.uint64) >> np.uint64(29)), starts)
+        return np.repeat(sums.view(np.int64), np.diff(np.append(starts, len(order)))), node[order]
+
+    return _joined(_trie_rows(fingerprints, max_bits, capacity), max_bits, groups, ("root", "node"))
+
+
+def _trie_rows(fingerprints: DataFrame, max_bits: int, capacity: int) -> DataFrame:
+    """key, home, word, node: the members of trie nodes that are joined in one task each.
+
+    Two words within max_bits agree on one of max_bits + 1 blocks, so the trie
+    is built once per block with that block rotated to the top and no error
+    spent on it: the first levels are then an equality that a shuffle can
+    serve. Below them the trie is joined with itself, node pair by node pair,
+    adding up differing bits and dropping a pair of nodes once the budget is
+    exceeded. A subtree of more than `capacity` words is split over tasks by
+    STEP more levels: its words stay at home under their own longer prefix and
+    probe all prefixes within the budget left, as often as needed; probes of
+    prefixes at which no word lives are dropped.
     """
     blocks = _blocks(max_bits + 1)
     shift = F.array(*[F.lit(64 - low - width) for low, width in blocks])
@@ -53,23 +88,24 @@ def hamming_links(fingerprints: DataFrame, max_bits: int, capacity: int = 16_384
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(F.xxhash64(*key).alias("key"), "home", "word", "node")
+
+
+def _joined(rows: DataFrame, max_bits: int, told: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], names: tuple[str, str]) -> DataFrame:
+    """What told(nodes, smallest linked index of each) says of each task's tries."""
     unsigned = F.col("word").bitwiseXOR(F.lit(-(1 << 63)))
-    rows = rows.select(*key, "home", "word", "node").repartition(n, *key).sortWithinPartitions(*key, F.desc("home"), unsigned)
+    rows = rows.repartition("key").sortWithinPartitions("key", F.desc("home"), unsigned)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, key):
+        for table in whole_groups(batches, ["key"]):
             node = table.column("node").to_numpy()
             word = table.column("word").to_numpy().view(np.uint64)
             label = np.arange(len(node))
-            for a, b in trie_join(word, table.column("home").to_numpy(), group_starts(table, key), max_bits):
+            for a, b in trie_join(word, table.column("home").to_numpy(), group_starts(table, ["key"]), max_bits):
                 label = merged(label, a, b)
-            child = np.flatnonzero(label != np.arange(len(label)))
-            src, dst = node[child], node[label[child]]
-            keep = src != dst
-            yield pa.RecordBatch.from_arrays([pa.array(src[keep]), pa.array(dst[keep])], names=["src", "dst"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in told(node, label)], names=list(names))
 
-    return rows.mapInArrow(joined, "src long, dst long")
+    return rows.mapInArrow(joined, f"{names[0]} long, {names[1]} long")
 
 
 def _blocks(count: int) -> list[tuple[int, int]]:

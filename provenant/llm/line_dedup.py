@@ -1,4 +1,4 @@
-"""Fuzzy line dedup: SimHash and MinHash of normalised lines, pigeonhole blocks and bands, verified edit similarity, one occurrence per group.
+"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, MinHash bands, verified edit similarity, one occurrence per group.
 
 Texts travel only where they must: lines are known by hashes until a pair is
 to be verified, and then only lines that have a candidate are fetched.
@@ -6,363 +6,284 @@ to be verified, and then only lines that have a candidate are fetched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import column, finished, group_starts, materialize, rewritten, split_by_key, whole_groups
+from provenant.llm.common import column, finished, free_name, materialize, merged, split_by_key, told_apart
 from provenant.llm.components import connected_components
-from provenant.llm.hamming import hamming_links, trie_join
+from provenant.llm.edit import edit_within, points
+from provenant.llm.similar import GRAM, candidate_groups, compared, gram_marks
 
-#: Digits count as 0; other ASCII marks are left out.
-_AS_ZERO = bytes(48 if 48 <= x <= 57 else x for x in range(256))
+#: ASCII marks are left out of lines; digits count as 0 where candidates are sought, as themselves where lines are compared.
 _MARKS = bytes(x for x in range(33, 127) if not chr(x).isalnum())
-#: Lines of fewer words are compared by character trigrams.
-FEW_WORDS = 8
-#: Lines of fewer bytes (normalised) are deduplicated when equal, not when similar.
-FUZZY_CHARS = 20
-#: Features hashed at once, and words remembered.
-CHUNK, KNOWN = 65_536, 400_000
-#: Lines that share all ROWS smallest hashes of a band, over byte 5-grams, are compared too: SimHash alone finds few similar lines.
-GRAM, ROWS, BANDS = 5, 4, 8
-_TURNS = (np.random.default_rng(11).integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-
-
-class _Hashes(dict):
-    """feature -> its hash as 8 bytes; remembers a bounded number."""
-
-    def __missing__(self, feature: bytes) -> bytes:
-        if len(self) >= KNOWN:
-            self.clear()
-        value = self[feature] = xxhash.xxh64_digest(feature)
-        return value
-
-
-def normalized_lines(text: str) -> list[list[bytes]]:
-    """Words (UTF-8) of each line: lower case, without ASCII marks, digits as 0."""
-    clean = text.lower().encode().translate(_AS_ZERO, _MARKS)
-    return [line.split() for line in clean.split(b"\n")]
-
-
-def _features(words: list[bytes], line: bytes) -> set[bytes]:
-    """Distinct words (frequent ones would drown the rest), or trigrams of a line of few words."""
-    if len(words) >= FEW_WORDS:
-        return set(words)
-    return {line[i : i + 3] for i in range(max(1, len(line) - 2))}
-
-
-def majorities(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each run of hashes, the word of the bits set in over half of them."""
-    n = np.diff(np.append(starts, len(hashes)))
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
-    # counters of one byte ride eight to a word, so runs are first summed in parts of at most 255
-    parts = -(-n // 255)
-    first = np.repeat(starts, parts) + 255 * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-    part = np.add.reduceat(bits, first, axis=0).view(np.uint8).reshape(-1, 64)
-    count = np.add.reduceat(part, np.cumsum(parts) - parts, axis=0, dtype=np.int32)
-    return np.packbits(2 * count > n[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-
-
-def band_marks(lines: list[bytes]) -> np.ndarray:
-    """(n, BANDS) 32-bit marks of lines of at least GRAM bytes; lines of equal 5-gram sets have equal marks."""
-    if not lines:
-        return np.empty((0, BANDS), dtype=np.int32)
-    size = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-    data = np.frombuffer(b"".join(lines), dtype=np.uint8).astype(np.uint32)
-    gram = np.zeros(len(data), dtype=np.uint32)
-    for k in range(GRAM):
-        gram[: len(data) - GRAM + 1] = gram[: len(data) - GRAM + 1] * np.uint32(0x01000193) + data[k : len(data) - GRAM + 1 + k]
-    for shift, turn in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
-        gram = (gram ^ (gram >> np.uint32(shift))) * np.uint32(turn)
-    # the last GRAM - 1 places of a line run into the next one: they are odd runs, left out
-    end = np.cumsum(size)
-    edges = np.stack([end - size, end - GRAM + 1], axis=1).reshape(-1)
-    marks = np.zeros((len(lines), BANDS), dtype=np.uint32)
-    for k, turn in enumerate(_TURNS):
-        least = np.minimum.reduceat(gram * turn, edges)[::2]
-        marks[:, k // ROWS] = (marks[:, k // ROWS] ^ least) * np.uint32(0x9E3779B1) + np.uint32(k)
-    return marks.view(np.int32)
-
-
-def line_table(documents: DataFrame) -> DataFrame:
-    """doc_id, key, line_no, h, fp, chars, marks of every line with words; key stands for the row's id and text, short lines have no marks."""
+_AS_ZERO = bytes(48 if 48 <= x <= 57 else x for x in range(256))
+#: Shorter lines (bytes) also meet under their halves: grams tell little of them.
+HALVED = 72
+#: Pairs held at once, and pairs of a line measured in a round.
+PAIRS, MEASURED = 100_000, 6
+#: Characters from which runs of three letters are counted before a distance is measured.
+PROFILED = 500
+#: Bytes of lines marked at once, lines that a task remembers, rows that come back from Python at once.
+CHUNK, SEEN, ROWS_OUT = 1 << 20, 300_000, 500
+
+
+def normalized_lines(text: str) -> list[bytes]:
+    """Each line in lower case, without ASCII marks, words one space apart (UTF-8)."""
+    return [b" ".join(line.split()) for line in text.lower().encode().translate(None, _MARKS).split(b"\n")]
+
+
+def least_length(similarity: float) -> int:
+    """Characters below which no line can have another one of that edit similarity: one edit must be allowed to the longer line."""
+    return max(GRAM, math.ceil(1 / (1 - similarity) - 1e-9) - 1) if similarity < 1 else 1 << 62
+
+
+def half_roots(line: str) -> list[int]:
+    """Keys of a line's halves: two lines that are one edit apart share one, wherever the edit is.
+
+    The shorter of the two, of n characters, is parted at n // 2; what an
+    edit leaves alone is its head or its tail. A line may be the shorter or,
+    with n + 1 characters, the longer.
+    """
+    out = set()
+    for n in (len(line), len(line) - 1):
+        at = n // 2
+        out.add((0, line[:at]))
+        out.add((1, line[len(line) - (n - at) :]))
+    return [xxhash.xxh64_intdigest(x.encode(), side) for side, x in out]
+
+
+def line_table(documents: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, key, line_no, first, h, fp, roots of every line with words of documents(doc_id, key, text).
+
+    key stands for the row's id and text, first tells a row's first line.
+    Lines that can be similar to others have a fingerprint and roots; one that
+    the task has lately seen is not marked again.
+    """
+    least = least_length(similarity)
+    names = ["doc_id", "key", "line_no", "first", "h", "fp", "roots"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        seen: set[int] = set()
         for batch in batches:
-            ids, keys, texts = (column(batch, x) for x in ("doc_id", "key", "text"))
-            row, number, h, chars, starts, values, long, size = [], [], [], [], [], [], [], 0
+            ids, keys, texts = (column(batch, x) for x in names[:2] + ["text"])
+            row, number, first, h, marked, lines, size = [], [], [], [], [], [], 0
 
             def made() -> pa.RecordBatch:
-                fp = majorities(np.frombuffer(b"".join(values), dtype="<u8"), np.array(starts)) if starts else np.empty(0, dtype=np.uint64)
-                at = pa.array(row, pa.int64())
-                far = np.concatenate([[0], np.cumsum(np.array(chars, dtype=np.int64) >= FUZZY_CHARS) * BANDS]).astype(np.int32)
-                marks = pa.ListArray.from_arrays(pa.array(far), pa.array(band_marks(long).reshape(-1)))
-                arrays = [ids.take(at), keys.take(at), pa.array(number, pa.int32()), pa.array(np.array(h, dtype=np.uint64).view(np.int64)), pa.array(fp.view(np.int64)), pa.array(chars, pa.int32()), marks]
-                return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "line_no", "h", "fp", "chars", "marks"])
+                fp, bands = gram_marks(lines)
+                roots = [[*b, *half_roots(x.decode())] if len(x) < HALVED else b for b, x in zip(bands.tolist(), lines)]
+                at, place = np.flatnonzero(marked), pa.array(row, pa.int64())
+                words, count = np.zeros(len(h), dtype=np.uint64), np.zeros(len(h) + 1, dtype=np.int32)
+                words[at], count[at + 1] = fp, [len(x) for x in roots]
+                flat = np.array([x for r in roots for x in r], dtype=np.uint64).view(np.int64)
+                hashes = pa.array(np.array(h, dtype=np.uint64).view(np.int64))
+                marks = pa.array(words.view(np.int64), mask=~np.array(marked, dtype=bool)), pa.ListArray.from_arrays(np.cumsum(count, dtype=np.int32), pa.array(flat))
+                return pa.RecordBatch.from_arrays([ids.take(place), keys.take(place), pa.array(number, pa.int32()), pa.array(first, pa.bool_()), hashes, *marks], names=names)
 
             for k in range(batch.num_rows):
-                for n, words in enumerate(normalized_lines(texts[k].as_py() or "")):
-                    if not words:
+                begun = False
+                for n, line in enumerate(normalized_lines(texts[k].as_py() or "")):
+                    if not line:
                         continue
-                    line = b" ".join(words)
+                    value = xxhash.xxh64_intdigest(line)
+                    new = len(line) >= least and value not in seen
+                    if new:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(value)
+                        lines.append(line.translate(_AS_ZERO))
+                        size += len(line)
                     row.append(k)
                     number.append(n)
-                    h.append(xxhash.xxh64_intdigest(line))
-                    chars.append(len(line))
-                    if len(line) >= FUZZY_CHARS:
-                        long.append(line)
-                    starts.append(size)
-                    features = _features(words, line)
-                    values.extend(map(hashes.__getitem__, features))
-                    size += len(features)
-                    if size >= CHUNK:
+                    first.append(not begun)
+                    h.append(value)
+                    marked.append(new)
+                    begun = True
+                    if size >= CHUNK or len(h) >= 50_000:
                         yield made()
-                        row, number, h, chars, starts, values, long, size = [], [], [], [], [], [], [], 0
+                        row, number, first, h, marked, lines, size = [], [], [], [], [], [], 0
             yield made()
 
-    return documents.select("doc_id", "key", "text").mapInArrow(of, "doc_id long, key long, line_no int, h long, fp long, chars int, marks array<int>")
-
-
-def edit_within(a: str, b: str, limit: int) -> bool:
-    """Whether the edit distance (insert, delete, replace) of a and b is at most limit; bit-parallel after Myers."""
-    if abs(len(a) - len(b)) > limit:
-        return False
-    head = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        head += 1
-    a, b = a[head:], b[head:]
-    tail = 0
-    for x, y in zip(reversed(a), reversed(b)):
-        if x != y:
-            break
-        tail += 1
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if not a or not b:
-        return max(len(a), len(b)) <= limit
-    where: dict[str, int] = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    plus, minus, distance = full, 0, len(a)
-    for j, y in enumerate(b):
-        match = where.get(y, 0)
-        cross = (((match & plus) + plus) ^ plus) | match | minus
-        up, down = minus | ~(cross | plus) & full, plus & cross
-        if up & top:
-            distance += 1
-        elif down & top:
-            distance -= 1
-        if distance - (len(b) - 1 - j) > limit:
-            return False
-        up, down = (up << 1 | 1) & full, down << 1 & full
-        match |= minus
-        plus, minus = down | ~(match | up) & full, up & match
-    return distance <= limit
-
-
-def verified_links(lines: DataFrame, max_bits: int, similarity: float, capacity: int = 4096) -> DataFrame:
-    """src, dst links of lines(root, h, fp, line): pairs within max_bits whose edit similarity is high enough.
-
-    root is a group outside of which no pair lies. Groups of more than
-    `capacity` lines are cut into chunks, and each pair of chunks is a block
-    of its own. A pair that others already connect needs no distance.
-    """
-    counts = lines.groupBy("root").agg(F.ceil(F.count("*") / capacity).cast("int").alias("m"))
-    rows = lines.join(counts, "root").withColumn("chunk", F.pmod(F.xxhash64("h"), F.col("m")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda k: F.struct(F.least(k, "chunk").alias("i"), F.greatest(k, "chunk").alias("j")))
-    rows = rows.withColumn("b", F.explode(others)).select("root", "b.i", "b.j", "h", "fp", "line")
-    key = ["root", "i", "j"]
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, *key).sortWithinPartitions(*key, F.col("fp").bitwiseXOR(F.lit(-(1 << 63))))
+    rows = documents.select("doc_id", "key", "text")
+    return rows.mapInArrow(of, "doc_id long, key long, line_no int, first boolean, h long, fp long, roots array<long>")
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, key, 10_000):
-            h, text = table.column("h").to_numpy(), table.column("line").to_pylist()
-            word = table.column("fp").to_numpy().view(np.uint64)
-            up = list(range(len(h)))
-
-            def root(x: int) -> int:
-                while up[x] != x:
-                    up[x] = up[up[x]]
-                    x = up[x]
-                return x
-
-            for a, b in trie_join(word, np.ones(len(h), dtype=bool), group_starts(table, key), max_bits):
-                for x, y in zip(a.tolist(), b.tolist()):
-                    p, q = root(x), root(y)
-                    if p != q:
-                        limit = int((1 - similarity) * max(len(text[x]), len(text[y])) + 1e-9)
-                        if edit_within(text[x], text[y], limit):
-                            up[max(p, q)] = min(p, q)
-            top = np.array([root(x) for x in range(len(h))])
-            child = np.flatnonzero(top != np.arange(len(h)))
-            yield pa.RecordBatch.from_arrays([pa.array(h[child]), pa.array(h[top[child]])], names=["src", "dst"])
-
-    return rows.mapInArrow(of, "src long, dst long")
-
-
-def _similar(text: list[str], marks: np.ndarray, band: int, chunk: np.ndarray, similarity: float) -> np.ndarray:
-    """Smallest linked index of each line of a block, shortest lines first.
-
-    Lengths and letter counts rule pairs out that cannot be similar enough. A
-    pair that meets in an earlier band is left to that one, a pair of one
-    chunk to the chunk's own block.
+
+def similar_lines(similarity: float):
+    """Compares lines, the shortest first in each group: the smallest linked index of each.
+
+    One edit changes at most q runs of q letters, so lengths and counts of
+    letters, and of runs of three in long lines, rule pairs out that are too
+    far apart. The others are measured in rounds, a few for each line; a pair that is
+    connected by then needs no distance.
     """
-    n = len(text)
-    size = np.fromiter(map(len, text), dtype=np.int64, count=n)
-    letters = np.zeros((n, 64), dtype=np.int32)
-    for k, x in enumerate(text):
-        letters[k] = np.bincount(np.frombuffer(x.encode("utf-32-le"), "<u4") & 63, minlength=64)
-    apart = len(np.unique(chunk)) > 1
-    label = np.arange(n)
-    for x in range(n - 1):
-        y = np.arange(x + 1, np.searchsorted(size, int(size[x] / similarity + 1e-6), side="right"))
-        y = y[label[y] != label[x]]
-        if apart:
-            y = y[chunk[y] != chunk[x]]
-        y = y[~(marks[y, :band] == marks[x, :band]).any(axis=1)]
-        limit = ((1 - similarity) * size[y] + 1e-9).astype(np.int64)
-        more = letters[y] - letters[x]
-        near = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1)) <= limit
-        for j, most in zip(y[near].tolist(), limit[near].tolist()):
-            if label[j] != label[x] and edit_within(text[x], text[j], most):
-                label[label == max(label[j], label[x])] = min(label[j], label[x])
-    return label
-
-
-def shared_bands(lines: DataFrame) -> DataFrame:
-    """root, band, h of lines(h unique, marks): which lines meet under a mark of a band; of groups of the same lines only that of the first band."""
-    rows = lines.select("h", F.posexplode("marks").alias("band", "mark"))
-    rows = rows.select("h", F.xxhash64("mark", "band").bitwiseAND(F.lit(-BANDS)).bitwiseOR(F.col("band").cast("long")).alias("root"))
-    all_of = Window.partitionBy("root")
-    who = [F.count("*").over(all_of).alias("n"), *(f("h").over(all_of).alias(c) for c, f in (("least", F.min), ("most", F.max), ("mixed", F.bit_xor)))]
-    rows = materialize(rows.select("root", "h", *who).where("n > 1"), "line-met")
-    band = F.col("root").bitwiseAND(F.lit(BANDS - 1)).cast("int")
-    first = rows.groupBy("n", "least", "most", "mixed").agg(F.min_by("root", band).alias("root")).select("root")
-    return rows.join(first, "root").select("root", band.alias("band"), "h")
-
-
-def banded_links(lines: DataFrame, similarity: float, capacity: int = 4096) -> DataFrame:
-    """src, dst links of lines(root, band, h, line): pairs of one root whose edit similarity is high enough; blocks as in verified_links."""
-    counts = lines.groupBy("root").agg(F.ceil(F.count("*") / capacity).cast("int").alias("m"))
-    rows = lines.join(counts, "root").withColumn("chunk", F.pmod(F.xxhash64("h"), F.col("m")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda k: F.struct(F.least(k, "chunk").alias("i"), F.greatest(k, "chunk").alias("j")))
-    rows = rows.withColumn("b", F.explode(others)).select("root", "b.i", "b.j", "band", "chunk", "h", "line")
-    key = ["root", "i", "j"]
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, *key).sortWithinPartitions(*key, F.length("line"))
+
+    def compare(lines: list[str], starts: np.ndarray, fit: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        text = [points(x) for x in lines]
+        size = np.fromiter(map(len, text), dtype=np.int64, count=len(text))
+        letters = np.concatenate(text).astype(np.int64) & 63
+        letters = np.bincount(np.repeat(np.arange(len(text)) * 64, size) + letters, minlength=64 * len(text)).reshape(-1, 64).astype(np.int32)
+        found, grams = [], {}
+        for a, b in _pairs(starts, len(text)):
+            near = (size[b] <= size[a] / similarity + 1e-6) & fit(a, b)
+            a, b = a[near], b[near]
+            near = np.abs(letters[a] - letters[b]).sum(axis=1) <= 2 * _allowed(similarity, size[b])
+            a, b = a[near], b[near]
+            long = np.flatnonzero(size[b] >= PROFILED)
+            grams.update({k: _profile(text[k]) for k in np.union1d(a[long], b[long]).tolist() if k not in grams})
+            far = [np.abs(grams[x] - grams[y]).sum(dtype=np.int64) for x, y in zip(a[long].tolist(), b[long].tolist())]
+            near = np.ones(len(a), dtype=bool)
+            near[long] = np.array(far, dtype=np.int64) <= 6 * _allowed(similarity, size[b[long]])
+            found.append((a[near], b[near]))
+        a, b = (np.concatenate(x) for x in zip(*found)) if found else (starts[:0], starts[:0])
+        # the nearest in length first
+        order = np.lexsort((-a, b))
+        a, b = a[order], b[order]
+        label = np.arange(len(text))
+        while len(a):
+            first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+            rank = np.arange(len(b)) - np.repeat(first, np.diff(np.append(first, len(b))))
+            now = rank < MEASURED
+            p, q = a[now], b[now]
+            linked = edit_within([text[k] for k in q], [text[k] for k in p], _allowed(similarity, size[q]))
+            label = merged(label, p[linked], q[linked])
+            a, b = a[~now], b[~now]
+            open_ = label[a] != label[b]
+            a, b = a[open_], b[open_]
+        return label
+
+    return compare
+
+
+def _profile(text: np.ndarray) -> np.ndarray:
+    """Counts of the runs of three letters, some to a counter."""
+    run = (text[:-2] * np.uint32(0x01000193) + text[1:-1]) * np.uint32(0x01000193) + text[2:]
+    return np.bincount((run * np.uint32(0x9E3779B1)) >> np.uint32(21), minlength=2048).astype(np.int32)
+
+
+def _allowed(similarity: float, size: np.ndarray) -> np.ndarray:
+    return ((1 - similarity) * size + 1e-9).astype(np.int64)
+
+
+def _pairs(starts: np.ndarray, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs a < b inside each group, at most about PAIRS at a time."""
+    ends = np.repeat(np.append(starts[1:], rows), np.diff(np.append(starts, rows)))
+    after = ends - np.arange(rows) - 1
+    total = np.cumsum(after)
+    at = 0
+    while at < rows:
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, side="right")))
+        many = after[at:to]
+        a = np.repeat(np.arange(at, to), many)
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
+        at = to
+
+
+def _fetched(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h, line, fp and the roots of the bands of the lines that wanted(h, key, line_no) asks for."""
+    wanted = materialize(wanted.groupBy("key").agg(F.collect_list(F.struct("line_no", "h")).alias("want")), "line-wanted")
+    texts = split_by_key(documents.select("key", "text"), wanted, "key", "key")[0].join(wanted, "key")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, key, 2_000):
-            table = table.combine_chunks()
-            h, band, chunk = (table.column(x).to_numpy() for x in ("h", "band", "chunk"))
-            text = table.column("line").to_pylist()
-            marks = band_marks([x.encode() for x in text])
-            starts = group_starts(table, key).tolist()
-            src, dst = [], []
-            for a, b in zip(starts, [*starts[1:], table.num_rows]):
-                if b - a > 1:
-                    label = _similar(text[a:b], marks[a:b], int(band[a]), chunk[a:b], similarity)
-                    child = np.flatnonzero(label != np.arange(b - a))
-                    src.append(h[a:b][child])
-                    dst.append(h[a:b][label[child]])
-            none = [np.empty(0, dtype=np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src or none)), pa.array(np.concatenate(dst or none))], names=["src", "dst"])
-
-    return rows.mapInArrow(of, "src long, dst long")
-
-
-def _keyed(documents: DataFrame) -> DataFrame:
-    return documents.withColumn("__line_key", F.xxhash64("doc_id", "text"))
-
-
-def dropped_lines(documents: DataFrame, similarity: float, max_bits: int) -> DataFrame:
-    """key, lines: the line numbers that a document (by key) loses; documents that lose none have no row."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__line_key").alias("key"), "text")
-    lines = materialize(line_table(rows), "lines")
-    place = F.struct("doc_id", "key", "line_no")
-    nodes = lines.groupBy("h").agg(F.min("fp").alias("fp"), F.min("chars").alias("chars"), F.first("marks").alias("marks"), F.min(place).alias("place"), F.count("*").alias("n"))
-    nodes = materialize(nodes, "line-nodes")
-    # candidates: lines that share a band of MinHashes, and lines within max_bits, by groups that hold all of them
-    fuzzy = nodes.where(F.col("chars") >= FUZZY_CHARS)
-    marks = fuzzy.groupBy("fp").agg(F.count("*").alias("lines"))
-    near = connected_components(hamming_links(marks.select(F.col("fp").alias("node"), "fp"), max_bits))
-    near = near.select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    same = marks.where("lines > 1").select("fp").join(near, "fp", "left_anti").select("fp", F.col("fp").alias("root"))
-    chosen = fuzzy.join(near.unionByName(same), "fp").select("root", "h", "fp", F.col("place.key").alias("key"), F.col("place.line_no").alias("line_no"))
-    chosen = materialize(chosen, "line-candidates")
-    met = materialize(shared_bands(fuzzy.select("h", "marks")), "line-bands")
-    place_of = F.col("place.key").alias("key"), F.col("place.line_no").alias("line_no")
-    found_at = fuzzy.join(met.select("h").distinct(), "h").select("h", *place_of)
-    sought = chosen.select("h", "key", "line_no").unionByName(found_at).distinct()
-    wanted = sought.groupBy("key").agg(F.collect_list(F.struct("line_no", "h")).alias("want"))
-    wanted = materialize(wanted, "line-wanted")
-    texts = split_by_key(rows.select("key", "text"), wanted, "key", "key")[0].join(wanted, "key")
-
-    def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, line = [], []
             for text, want in zip(column(batch, "text"), column(batch, "want")):
-                words = normalized_lines(text.as_py())
+                raw = text.as_py().split("\n")
                 for x in want.as_py():
                     h.append(x["h"])
-                    line.append(b" ".join(words[x["line_no"]]).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(line, pa.string())], names=["h", "line"])
+                    line.append(normalized_lines(raw[x["line_no"]])[0].decode())
+            fp, roots = gram_marks([x.encode().translate(_AS_ZERO) for x in line])
+            roots = pa.array(list(roots.view(np.int64)), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(line, pa.string()), pa.array(fp.view(np.int64)), roots], names=["h", "line", "fp", "roots"])
+
+    return texts.select("text", "want").mapInArrow(of, "h long, line string, fp long, roots array<long>").dropDuplicates(["h"])
 
-    found = materialize(texts.select("text", "want").mapInArrow(fetched, "h long, line string").dropDuplicates(["h"]), "line-found")
-    links = verified_links(chosen.select("root", "h", "fp").join(found, "h"), max_bits, similarity)
-    links = links.unionByName(banded_links(met.join(found, "h"), similarity))
-    groups = connected_components(materialize(links, "line-links")).select(F.col("node").alias("h"), F.col("component").alias("group"))
+
+def dropped_lines(rows: DataFrame, similarity: float, max_bits: int, max_far: int) -> DataFrame:
+    """key, lines, repeated of rows(doc_id, key, text): the line numbers that a row loses, and whether there are more rows like it.
+
+    Rows that lose nothing and stand alone are not told.
+    """
+    lines = materialize(line_table(rows, similarity), "lines")
+    place = F.struct("doc_id", "key", "line_no")
+    nodes = materialize(lines.groupBy("h").agg(F.min(place).alias("place"), F.count("*").alias("n")), "line-nodes")
+    met = materialize(candidate_groups(lines.where("fp is not null").select("h", "fp", "roots"), max_bits, max_far), "line-met")
+    asked = nodes.join(met.select("h").distinct(), "h").select("h", "place.key", "place.line_no")
+    found = materialize(_fetched(rows, asked), "line-found")
+    links = materialize(compared(met.join(found, "h"), "line", similar_lines(similarity), max_bits, max_far, least=20_000), "line-links")
+    groups = connected_components(links).select(F.col("node").alias("h"), F.col("component").alias("group"))
     # of a group, the first occurrence stays
     known = nodes.join(groups, "h", "left").where("n > 1 or group is not null").select("h", F.coalesce("group", "h").alias("group"), "place")
     known = materialize(known, "line-groups")
     first = known.groupBy("group").agg(F.min("place").alias("first"))
-    known = known.join(first, "group").select("h", "first")
-    drop = lines.join(known, "h").where(~place.eqNullSafe(F.col("first")))
-    return drop.groupBy("key").agg(F.collect_set("line_no").alias("lines"))
-
-
-def dedup_lines(documents: DataFrame, similarity: float = 0.9, max_bits: int = 3) -> DataFrame:
-    """documents with repeated lines taken out of their text, and columns __lines and __kept with how many there were and stay.
-
-    Lines are parted at line feeds and compared without case, ASCII marks,
-    digits' values and spacing; they link when equal so, or when 1 - edit
-    distance / longer length is at least `similarity` and they are compared:
-    when their SimHashes differ in at most max_bits bits, or they share one
-    of BANDS bands of ROWS MinHashes each. Of each connected group the occurrence
-    with the smallest doc_id (null first), then line, stays. Lines without
-    words stay. A text whose lines all go becomes empty; null stays null.
-    Rows that repeat both id and text count as one and keep the same lines.
-    Other columns are carried along; an empty table gives an empty result.
+    known = known.join(first, "group").select("h", F.col("first").alias("stays"))
+    drop = split_by_key(lines.select("h", "doc_id", "key", "line_no"), known, "h", "h")[0].join(known, "h").where(~place.eqNullSafe(F.col("stays")))
+    drop = drop.groupBy("key").agg(F.collect_set("line_no").alias("lines"))
+    again = lines.where("first").groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("repeated"))
+    return drop.join(again, "key", "full")
+
+
+def dedup_lines(documents: DataFrame, similarity: float = 0.9, max_bits: int = 3, max_far: int = 15, counts: tuple[str, str] | None = None) -> DataFrame:
+    """documents with repeated lines taken out of their text; `counts` names columns for how many lines there were and stay.
+
+    Lines are parted at line feeds and compared without case, ASCII marks and
+    spacing; they link when equal so, or when 1 - edit distance / longer length
+    is at least `similarity` and they are compared: when their SimHashes differ
+    in at most max_bits bits, or they share a band of MinHashes or (short ones)
+    a half, digits counted alike, and their SimHashes differ in at most max_far
+    bits. Of each connected group the occurrence with the smallest doc_id
+    (null first), then line, stays; of rows that repeat both id and text, one
+    keeps it. Lines without words stay. A text whose lines all go becomes
+    empty; null stays null. Other columns are carried along, whatever their
+    names; an empty table gives an empty result.
     """
-    keyed = _keyed(documents)
-    drops = finished(lambda: dropped_lines(keyed, similarity, max_bits), documents.sparkSession, "line-drops")
-    drops = drops.select(F.col("key").alias("__line_key"), F.col("lines").alias("__drop"))
-    count = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    losing, intact = split_by_key(keyed.withColumn("__lines", count), drops, "__line_key", "__line_key")
-
-    names = [f"`{n}`" for n in documents.columns]
-    intact = intact.select(*names, "__lines", F.col("__lines").alias("__kept"))
-    kept = (F.col("__lines") - F.coalesce(F.size("__drop"), F.lit(0))).alias("__kept")
-    joined = losing.join(drops, "__line_key", "left").select(*names, "__lines", kept, "__drop")
-    return intact.unionByName(rewritten(joined, "__drop", _without))
+    spark, names = documents.sparkSession, documents.columns
+    if counts and {c.lower() for c in counts} & {c.lower() for c in names}:
+        raise ValueError(f"documents already have a column of {counts}")
+    key, drop, again = (free_name(documents, x) for x in ("line_key", "line_drop", "line_again"))
+    keyed = documents.withColumn(key, F.xxhash64("doc_id", "text"))
+    rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("key"), "text")
+    told = finished(lambda: dropped_lines(rows, similarity, max_bits, max_far), spark, "line-drops")
+    told = told.select(F.col("key").alias(key), F.col("lines").alias(drop), F.col("repeated").alias(again))
+    losing, intact = split_by_key(keyed, told, key, key)
+    losing = losing.join(told, key, "left")
+    if not told.where(F.col(again)).isEmpty():
+        keeps, others = told_apart(losing.where(F.col(again)), key, "line-alike")
+        losing = losing.where(F.col(again).isNull()).unionByName(keeps.withColumn(again, F.lit(False))).unionByName(others)
+    quoted = [F.col(f"`{n}`") for n in names]
+    size = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    intact = intact.select(*quoted, *[size.alias(c) for c in counts or ()])
+    return intact.unionByName(_without(losing, names, drop, again, counts))
+
+
+def _without(losing: DataFrame, names: list[str], drop: str, again: str, counts: tuple[str, str] | None) -> DataFrame:
+    """The rows without the lines in `drop`, or without any line that has words where `again` is true."""
+
+    def shorter(text: str, gone: list[int] | None, every: bool | None) -> tuple[str, int, int]:
+        lines = text.split("\n")
+        left = [x for x, words in zip(lines, normalized_lines(text)) if not words] if every else [x for k, x in enumerate(lines) if k not in set(gone or ())]
+        return "\n".join(left), len(lines), len(left)
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_OUT):
+                part = batch.slice(at, ROWS_OUT)
+                new = [(None, 0, 0) if t.as_py() is None else shorter(t.as_py(), g.as_py(), e.as_py()) for t, g, e in zip(*(column(part, c) for c in ("text", drop, again)))]
+                arrays = [pa.array([x[0] for x in new], pa.string()) if c == "text" else column(part, c) for c in names]
+                told = [pa.array([x[k] for x in new], pa.int64()) for k in (1, 2)] if counts else []
+                yield pa.RecordBatch.from_arrays(arrays + told, names=[*names, *(counts or ())])
 
-def _without(text: str | None, drop: list[int] | None) -> str | None:
-    if text is None or drop is None:
-        return text
-    gone = set(drop)
-    return "\n".join(line for k, line in enumerate(text.split("\n")) if k not in gone)
+    kept = losing.select(*[F.col(f"`{n}`") for n in names], drop, again)
+    schema = kept.select(*[F.col(f"`{n}`") for n in names]).schema
+    for c in counts or ():
+        schema = schema.add(c, "long")
+    return kept.mapInArrow(of, schema)
 
 
 def op2_line_dedup(documents: DataFrame) -> DataFrame:
     """doc_id, text, n_lines, n_kept of every row of documents(doc_id, text); see dedup_lines."""
-    out = dedup_lines(documents.select("doc_id", "text"))
-    return out.select("doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__kept").alias("n_kept"))
+    return dedup_lines(documents.select("doc_id", "text"), counts=("n_lines", "n_kept"))

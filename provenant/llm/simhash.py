@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,14 +10,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import column, finished, group_starts, materialize, split_by_key, text_bytes, whole_groups
+from provenant.llm.common import column, finished, free_name, materialize, split_by_key, text_bytes, told_apart
 from provenant.llm.components import connected_components
 from provenant.llm.hamming import hamming_links
-from provenant.llm.line_dedup import BANDS, shared_bands
+from provenant.llm.similar import candidate_groups, compared
 
 SEED = 42
-#: MinHashes to a band; at Jaccard 0.8 a pair shares one of BANDS bands with probability 0.997.
-BAND_ROWS = 3
+#: Bands, and MinHashes to a band; at Jaccard 0.8 a pair shares a band with probability 0.997.
+BANDS, BAND_ROWS = 8, 3
 _TURNS = np.random.default_rng(13).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
@@ -89,96 +89,101 @@ def op3_simhash(documents: DataFrame) -> DataFrame:
     return simhash_groups(documents).select("doc_id", mark.alias("fingerprint"), "component_id")
 
 
-def simhash_dedup(documents: DataFrame, max_bits: int = 3, shingle_words: int = 3) -> DataFrame:
-    """documents without near copies: of each group the row with the smallest doc_id stays.
-
-    Needs unique doc_ids to keep one row per group; of repeated rows with the
-    same doc_id all stay. Rows with a null doc_id stay.
-    """
-    copies = lambda: simhash_groups(documents, max_bits, shingle_words).where("doc_id is not null and component_id < doc_id").select("doc_id").distinct()
-    drop = finished(copies, documents.sparkSession, "simhash-drop")
-    some, clean = split_by_key(documents, drop, "doc_id", "doc_id")
-    return clean.unionByName(some.join(drop, "doc_id", "left_anti"))
-
-
-def _set_marks(shingles: np.ndarray) -> np.ndarray:
-    """BANDS 32-bit marks of a set of hashes; the empty set has zeros."""
-    if not len(shingles):
-        return np.zeros(BANDS, dtype=np.int32)
-    least = np.array([(shingles * t).min() for t in _TURNS]).reshape(BANDS, BAND_ROWS)
-    return np.array([xxhash.xxh32_intdigest(x.tobytes()) for x in least], dtype=np.uint32).view(np.int32)
-
-
-def _sets(documents: DataFrame, width: int, full: bool) -> DataFrame:
-    """doc_id, h (of the whole set of shingles), and either the sorted set or its marks."""
+def _marks(documents: DataFrame, width: int) -> DataFrame:
+    """doc_id, key, h (of the set of shingles), fp and roots of every row of documents(doc_id, key, text)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, out = [], []
+            h, fp, roots = [], [], []
             for text in text_bytes(batch):
-                shingles = np.unique(shingle_hashes(text, width))
-                h.append(xxhash.xxh64_intdigest(shingles.tobytes()) - 2**63)
-                out.append(shingles.tobytes() if full else _set_marks(shingles).tolist())
-            values = pa.array(out, pa.binary() if full else pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(h, pa.int64()), values], names=["doc_id", "h", "value"])
+                shingles = shingle_hashes(text, width)
+                fp.append(majority_bits(shingles))
+                shingles = np.unique(shingles)
+                h.append(xxhash.xxh64_intdigest(shingles.tobytes()))
+                # no two texts without words differ: they need not meet
+                least = np.array([(shingles * t).min() for t in _TURNS] if len(shingles) else [], dtype=np.uint64).reshape(-1, BAND_ROWS)
+                roots.append(np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least)], dtype=np.uint64).view(np.int64))
+            h, fp = (np.array(x, dtype=np.uint64).view(np.int64) for x in (h, fp))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "key"), pa.array(h), pa.array(fp), pa.array(roots, pa.list_(pa.int64()))], names=["doc_id", "key", "h", "fp", "roots"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, f"doc_id long, h long, value {'binary' if full else 'array<int>'}")
+    return documents.select("doc_id", "key", "text").mapInArrow(of, "doc_id long, key long, h long, fp long, roots array<long>")
 
 
-def jaccard_links(rows: DataFrame, similarity: float, capacity: int = 512) -> DataFrame:
-    """src, dst links of rows(root, h, value): pairs of one root whose sets have Jaccard similarity of at least `similarity`; large roots are cut into pairs of chunks."""
-    counts = rows.groupBy("root").agg(F.ceil(F.count("*") / capacity).cast("int").alias("m"))
-    rows = rows.join(counts, "root").withColumn("chunk", F.pmod(F.xxhash64("h"), F.col("m")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda k: F.struct(F.least(k, "chunk").alias("i"), F.greatest(k, "chunk").alias("j")))
-    rows = rows.withColumn("b", F.explode(others)).select("root", "b.i", "b.j", "h", "value")
-    key = ["root", "i", "j"]
-    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key, F.length("value"))
+def _sets(documents: DataFrame, width: int) -> DataFrame:
+    """h, fp, roots and the sorted set of shingles (unsigned 64-bit) of documents(h, fp, roots, text)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, key, 500):
-            h = table.column("h").to_numpy()
-            sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("value")]
-            label = np.arange(len(h))
-            starts = group_starts(table, key).tolist()
-            for a, b in zip(starts, [*starts[1:], len(h)]):
-                for x in range(a, b - 1):
-                    for y in range(x + 1, b):
-                        p, q = sets[x], sets[y]
-                        if len(p) < similarity * len(q):
-                            break
-                        if label[x] != label[y]:
-                            both = len(np.intersect1d(p, q, assume_unique=True))
-                            if both >= similarity * (len(p) + len(q) - both):
-                                part = label[a:b]
-                                part[part == max(label[x], label[y])] = min(label[x], label[y])
-            child = np.flatnonzero(label != np.arange(len(h)))
-            yield pa.RecordBatch.from_arrays([pa.array(h[child]), pa.array(h[label[child]])], names=["src", "dst"])
-
-    return rows.mapInArrow(of, "src long, dst long")
-
-
-def jaccard_dedup(documents: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """documents without near copies: of each group linked by Jaccard similarity of word shingles the row with the smallest doc_id stays.
-
-    Words are those of simhash_groups; texts without words are copies of each
-    other. Candidates share a band of MinHashes and are verified on the whole
-    sets. Rows with a null doc_id stay; doc_ids are to be unique.
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text, width)).tobytes() for text in text_bytes(batch)]
+            names = ["h", "fp", "roots", "shingles"]
+            yield pa.RecordBatch.from_arrays([*(column(batch, x) for x in names[:3]), pa.array(sets, pa.binary())], names=names)
+
+    return documents.select("h", "fp", "roots", "text").mapInArrow(of, "h long, fp long, roots array<long>, shingles binary").dropDuplicates(["h"])
+
+
+def similar_sets(similarity: float):
+    """Compares sets of shingles, the smallest first: the smallest linked index of each."""
+
+    def compare(values: list[bytes], starts: np.ndarray, fit: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in values]
+        label = np.arange(len(sets))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(sets)]):
+            for x in range(a, b - 1):
+                y = np.arange(x + 1, b)
+                for y in y[fit(np.full(len(y), x), y)].tolist():
+                    p, q = sets[x], sets[y]
+                    if len(p) < similarity * len(q):
+                        break
+                    if label[x] != label[y]:
+                        both = len(np.intersect1d(p, q, assume_unique=True))
+                        if both >= similarity * (len(p) + len(q) - both):
+                            part = label[a:b]
+                            part[part == max(label[x], label[y])] = min(label[x], label[y])
+        return label
+
+    return compare
+
+
+def simhash_dedup(documents: DataFrame, shingle_words: int = 5, similarity: float = 0.8, max_bits: int = 3, max_far: int = 20) -> DataFrame:
+    """documents without near copies: of each group of similar texts the row with the smallest doc_id (null first) stays.
+
+    Words are those of simhash_groups. Two texts are linked when their sets of
+    word shingles have a Jaccard similarity of at least `similarity` and they
+    are compared: when their SimHashes differ in at most max_bits bits (the
+    trie self-join), or they share a band of MinHashes and differ in at most
+    max_far bits. Texts without words are copies of each other. Of rows that
+    repeat id and text, one stays. Other columns are carried along, whatever
+    their names; an empty table gives an empty result.
     """
+    key = free_name(documents, "copy_key")
+    keyed = documents.withColumn(key, F.xxhash64("doc_id", "text"))
+    rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("key"), "text")
 
     def copies() -> DataFrame:
-        some = documents.where("doc_id is not null")
-        marks = materialize(_sets(some, shingle_words, False), "jaccard-marks")
-        nodes = materialize(marks.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("value").alias("marks")), "jaccard-nodes")
-        met = materialize(shared_bands(nodes.select("h", "marks")), "jaccard-bands")
-        ask = materialize(nodes.join(met.select("h").distinct(), "h").select(F.col("first").alias("doc_id")), "jaccard-ask")
-        texts = split_by_key(some, ask, "doc_id", "doc_id")[0].join(ask, "doc_id", "left_semi")
-        sets = materialize(_sets(texts, shingle_words, True).select("h", "value").dropDuplicates(["h"]), "jaccard-sets")
-        links = materialize(jaccard_links(met.join(sets, "h").select("root", "h", "value"), similarity), "jaccard-links")
+        marks = materialize(_marks(rows, shingle_words), "copy-marks")
+        place = F.struct("doc_id", "key")
+        nodes = materialize(marks.groupBy("h").agg(F.min(place).alias("place"), F.count("*").alias("n")), "copy-nodes")
+        # texts without words are one set, and meet nobody else
+        met = materialize(candidate_groups(marks.where("size(roots) > 0").select("h", "fp", "roots"), max_bits, max_far), "copy-met")
+        asked = materialize(nodes.join(met.select("h").distinct(), "h").select("h", "place.key"), "copy-asked")
+        asked = asked.join(marks.select("key", "fp", "roots").dropDuplicates(["key"]), "key")
+        texts = split_by_key(rows.select("key", "text"), asked, "key", "key")[0].join(asked, "key")
+        sets = materialize(_sets(texts, shingle_words), "copy-sets")
+        links = materialize(compared(met.join(sets, "h"), "shingles", similar_sets(similarity), max_bits, max_far, capacity=512, least=500), "copy-links")
         groups = connected_components(links).select(F.col("node").alias("h"), F.col("component").alias("root"))
-        member = nodes.join(groups, "h", "left").select("h", "first", F.coalesce("root", "h").alias("root"))
-        member = member.join(member.groupBy("root").agg(F.min("first").alias("keep")), "root").select("h", "keep")
-        return marks.join(member, "h").where("keep < doc_id").select("doc_id").distinct()
-
-    drop = finished(copies, documents.sparkSession, "jaccard-drop")
-    some, clean = split_by_key(documents, drop, "doc_id", "doc_id")
-    return clean.unionByName(some.join(drop, "doc_id", "left_anti"))
+        known = nodes.join(groups, "h", "left").where("n > 1 or root is not null").select("h", F.coalesce("root", "h").alias("root"), "place")
+        known = materialize(known, "copy-groups")
+        stays = known.groupBy("root").agg(F.min("place").alias("stays"))
+        known = known.join(stays, "root").select("h", "stays")
+        found = split_by_key(marks.select("doc_id", "key", "h"), known, "h", "h")[0].join(known, "h")
+        # of the rows of a group, those that are not its first, or are so more than once
+        every = found.groupBy("key").agg(F.count("*").alias("n"), F.max(place.eqNullSafe(F.col("stays"))).alias("first"))
+        return every.where("n > 1 or not first").select("key", "first")
+
+    told = finished(copies, documents.sparkSession, "copies").withColumnRenamed("key", key)
+    some, clean = split_by_key(keyed, told, key, key)
+    alike = told.where("first").select(key)
+    out = clean.unionByName(some.join(told, key, "left_anti"))
+    if not alike.isEmpty():
+        out = out.unionByName(told_apart(some.join(alike, key, "left_semi"), key, "copy-alike")[0])
+    return out.drop(key)
