@@ -16,7 +16,7 @@ from provenant.llm.line_dedup import dedup_lines
 from provenant.llm.mixing import mix_documents
 from provenant.llm.packing import op4_packing
 from provenant.llm.quality import keep_quality
-from provenant.llm.simhash import jaccard_dedup
+from provenant.llm.simhash import simhash_dedup
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,13 +28,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; n_chars follows the text."""
-    out = dedup_lines(docs).drop("__lines", "__kept")
+    out = dedup_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard >= 0.8 of five-word shingles), and one of all that have no words left."""
-    return jaccard_dedup(docs)
+    """One document of each group of near copies (Jaccard >= 0.8 of five-word shingles); those that have no words left are one group."""
+    return simhash_dedup(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
