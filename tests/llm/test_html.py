@@ -74,3 +74,58 @@ def test_table_matches_its_template(spark):
         inner = re.search(r"<article>(.*?)(?:</article>|<footer>)", r.html, re.S)[1]
         want = [" ".join(unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>|<br>", inner)]
         assert text[r.page_id].split("\n") == [x for x in want if x]
+
+
+def test_neutral_mark_up_and_a_plain_tree(spark):
+    """With tags and classes that say nothing, what repeats goes by the tree, which equals a plain computation; without the tree it stays."""
+    import math
+    import random
+
+    rng = random.Random(4)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(800)]
+    prose = lambda n: " ".join(rng.choices(vocab, k=n))
+    fixed = [prose(6) for _ in range(4)]
+    pages, articles = [], []
+    for i in range(40):
+        article = [prose(30), prose(25)]
+        articles.append("\n".join(article))
+        pages.append(f"<body><div class=a><span>{fixed[0]}</span><a href='/x'>{fixed[1]}</a></div><div class=b><p>{article[0]}</p><p>{article[1]}</p></div><div class=c>{rng.choice(fixed[2:])}<img src=/logo.png></div></body>")
+    df = spark.createDataFrame([(i, f"http://h.com/{i}", p, "h.com") for i, p in enumerate(pages)], "page_id long, url string, html string, host string")
+    got = {r.page_id: r.text for r in html.op8_html(df).collect()}
+    assert [got[i] for i in range(40)] == articles
+    assert all(html.main_text(p) != a for p, a in zip(pages, articles))
+
+    features, looks, paths = {}, {}, {}
+    for p in pages:
+        page = html.parse(p)
+        for node, kind, feature in html.page_features(page):
+            table = features if kind == html.TEXT else looks
+            table.setdefault(node, {}).setdefault(feature, 0)
+            table[node][feature] += 1
+            paths[node] = page.path(node)
+    low = set()
+    for node in {k for path in paths.values() for k in path}:
+        below = [n for leaf, counts in features.items() if node in paths[leaf] for n in counts.values()]
+        if not below:
+            continue
+        content = 1 - sum(math.log(n) / math.log(40) for n in below) / len(below)
+        own = list(looks.get(node, {}).values())
+        spread = -sum(n / sum(own) * math.log(n / sum(own), 40) for n in own) if own else 0
+        weight = html.GAMMA ** len(own)
+        if (1 - weight) * spread + weight * content < 0.3:
+            low.add(node)
+    assert low and set(html.low_importance(df).collect()[0].low) == low
+
+
+def test_counts_of_many_pages_are_split(spark):
+    df = spark.createDataFrame([(f"<p>same</p><p>x{i % 5}</p>", "h") for i in range(70_000)], "html string, host string")
+    row = html.feature_sums(html.style_rows(df)).where(f"kind = {html.TEXT}").collect()
+    assert len(row) == 1 and row[0].total == 140_000 and row[0].features == 6
+
+
+def test_unclosed_raw_tags_formulas_and_class_names():
+    assert html.main_text("<main><p>a</p><video>fallback<p>rest</p></main>") == "a\nfallback\nrest"
+    assert html.main_text("<p>let <math><mi>x</mi></math> be</p>") == "let x be"
+    assert html.main_text("<div class='related-work'><p>a</p></div><div class='related-posts'><p>b</p></div>") == "a"
+    deep = "<div>x" * 20_000
+    assert html.main_text(deep).count("x") == 20_000
