@@ -101,3 +101,11 @@ def test_sequences_hold_the_ids(spark, monkeypatch):
 
 def test_empty(spark):
     assert packing.op4_packing(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_added_tokens_are_those_of_the_tokenizer(spark):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|><|endoftext|>", " x <|endoftext|> y\n", "<|endoftext|", "", "  <|endoftext|>  "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in packing.tokenized_pieces(docs, 2048, with_ids=True).collect()}
+    assert got == {k: [*plain.encode(x, add_special_tokens=False).ids, 0] for k, x in enumerate(texts)}
