@@ -229,7 +229,10 @@ def op1_embedding_dedup(embeddings: DataFrame, threshold: float = 0.98, hashing:
     ok = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0)
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     sound = F.coalesce(F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = embeddings.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    # labels of any type are known by a hash; components keep their precision
+    exact = "array<double>" if "double" in embeddings.schema["embedding"].dataType.simpleString() else "array<float>"
+    label = F.when(F.col("label").isNotNull(), F.xxhash64(F.col("label").cast("string"))).alias("label")
+    rows = embeddings.select("vec_id", F.col("embedding").cast(exact).alias("embedding"), label)
     nodes = rows.where(ok & sound).groupBy("label", "embedding").agg(F.min("vec_id").cast("long").alias("node"), F.count("*").alias("copies"))
     nodes = materialize(nodes, "polytope-nodes")
     links = materialize(vector_links(nodes, threshold, hashing, capacity), "polytope-links")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import group_starts, whole_groups
+from provenant.llm.common import group_starts, materialize, split_by_key, whole_groups
 from provenant.llm.hamming import hamming_groups
 
 #: Byte grams; MinHashes to a band, and bands.
@@ -108,8 +108,10 @@ def candidate_groups(items: DataFrame, max_bits: int, max_far: int) -> DataFrame
             yield _told(np.repeat(np.arange(len(starts)), size)[keep], band[keep], h[keep])
 
     groups = shared.mapInArrow(met, "root long, band int, h long")
-    near = hamming_groups(items.select(F.col("fp").alias("node"), "fp").distinct(), max_bits)
-    near = near.join(items.select("fp", "h").distinct(), F.col("node") == F.col("fp")).select("root", F.lit(SIMHASH).alias("band"), "h")
+    words = materialize(items.select("fp").distinct(), "candidate-words")
+    near = materialize(hamming_groups(words.select(F.col("fp").alias("node"), "fp"), max_bits), "candidate-near")
+    some = split_by_key(items.select("fp", "h"), near, "node", "fp")[0].distinct()
+    near = near.join(some, F.col("node") == F.col("fp")).select("root", F.lit(SIMHASH).alias("band"), "h")
     return groups.unionByName(near).groupBy("root", "h").agg(F.min("band").alias("band"))
 
 

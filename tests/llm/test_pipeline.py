@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from provenant.llm import quality, simhash
 from tests.llm.test_line_dedup import brute
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_simhash import plain_components
 
 
 @pytest.fixture(scope="module")
@@ -54,21 +54,25 @@ def test_lines_go_once(stages):
 
 
 def brute_exact(rows):
-    import provenant.llm.line_dedup as ld
-
-    saved, ld.FUZZY_CHARS = ld.FUZZY_CHARS, 1 << 60
-    try:
-        return brute(rows)
-    finally:
-        ld.FUZZY_CHARS = saved
+    return brute(rows, fuzzy=False)
 
 
 def test_one_of_each_group_stays(stages):
+    """All pairs of five-word shingle sets compared: of each group of Jaccard 0.8 the first stays."""
     _, out = stages
-    fp = {r.doc_id: plain_fingerprint(r.text) for r in out[2].collect()}
-    links = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 3]
-    comp = plain_components(list(fp), links)
-    assert {r.doc_id for r in out[3].collect()} == {i for i in fp if comp[i] == i}
+    sets = {}
+    for r in out[2].collect():
+        w = "".join(c.lower() if c.isascii() else c for c in r.text or "").split()
+        sets[r.doc_id] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    near = lambda p, q: p == q or min(len(p), len(q)) >= 0.8 * max(len(p), len(q)) and len(p & q) >= 0.8 * len(p | q)
+    comp = plain_components(list(sets), [(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])])
+    assert {r.doc_id for r in out[3].collect()} == {i for i in sets if comp[i] == i}
+
+
+def test_near_copies_of_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "a b c d e f", 1, 2), (1, "a b c d e f", 3, 4), (2, "A b c d e f", 5, 6), (None, "x y", 7, 8), (4, "x  y", 9, 9)]
+    got = simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string, spot int, copy_key int")).collect()
+    assert [r.doc_id for r in got if r.doc_id is not None] == [1] and len(got) == 2
 
 
 def test_mix_comes_near_its_weights(stages):
