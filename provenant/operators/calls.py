@@ -41,26 +41,28 @@ def _with_names(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     return calls.select("caller", "callee").distinct().join(caller_modules(calls, nodes), "caller")
 
 
-def _tails(functions: DataFrame) -> DataFrame:
-    """qname with every dotted end of it, so that a dotted callee is met by equality."""
+def _ends(functions: DataFrame) -> DataFrame:
+    """qname with every dotted end of it under every module that it may lie in, so that module and callee are met by equality."""
     parts = F.split("qname", r"\.")
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "."))
-    return functions.select("qname", F.explode(ends).alias("end"))
+    each = F.sequence(F.lit(1), F.size(parts))
+    ends = F.transform(each, lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "."))
+    heads = F.transform(F.slice(each, 1, F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+    return functions.select("qname", ends.alias("ends"), F.explode(heads).alias("head")).select("qname", "head", F.explode("ends").alias("end"))
 
 
 def local_targets(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """caller, callee, target in the caller's own module."""
     rows = _with_names(calls, nodes).where("caller_module <> ''")
-    hit = rows.join(_tails(functions_of(nodes)), F.col("callee") == F.col("end"))
-    return hit.where(F.startswith("qname", F.concat("caller_module", F.lit(".")))).select("caller", "callee", F.col("qname").alias("target")).distinct()
+    hit = rows.join(_ends(functions_of(nodes)), (F.col("caller_module") == F.col("head")) & (F.col("callee") == F.col("end")))
+    return hit.select("caller", "callee", F.col("qname").alias("target")).distinct()
 
 
 def imported_targets(calls: DataFrame, nodes: DataFrame, imports: DataFrame) -> DataFrame:
     """caller, callee, target in a module that the caller's module imports."""
     rows = _with_names(calls, nodes).where("caller_module <> ''")
     there = imports.select(F.col("module").alias("caller_module"), T.resolved_import(F.col("module"), F.col("import")).alias("from_module")).distinct()
-    hit = rows.join(there, "caller_module").join(_tails(functions_of(nodes)), F.col("callee") == F.col("end"))
-    return hit.where(F.startswith("qname", F.concat("from_module", F.lit(".")))).select("caller", "callee", F.col("qname").alias("target")).distinct()
+    hit = rows.join(there, "caller_module").join(_ends(functions_of(nodes)), (F.col("from_module") == F.col("head")) & (F.col("callee") == F.col("end")))
+    return hit.select("caller", "callee", F.col("qname").alias("target")).distinct()
 
 
 def global_candidates(calls: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -28,6 +28,12 @@ def template_index(nodes: DataFrame) -> DataFrame:
     return rows.groupBy("function", "size", "prefix", "pattern").agg(F.min_by("node_id", "ord").alias("node_id"), F.min("ord").alias("ord"))
 
 
+def _probes(messages: DataFrame) -> DataFrame:
+    """messages with each prefix under which a template of theirs may stand."""
+    probes = messages.withColumn("size", F.explode(F.array(*[F.lit(n) for n in PREFIXES]))).where(F.length("message") >= F.col("size"))
+    return probes.withColumn("prefix", F.expr("substring(message, 1, size)"))
+
+
 def resolve(events: DataFrame, nodes: DataFrame) -> DataFrame:
     """events(module, function, message, ...) with node_id and tier (1, 2, 3 or null).
 
@@ -39,9 +45,7 @@ def resolve(events: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     looked = events.join(exact_index(nodes), ["module", "function", "message"], "left").join(relaxed_index(nodes), ["function", "message"], "left")
     open_ = looked.where("exact_id is null and relaxed_id is null and function is not null and message is not null").select("function", "message").distinct()
-    probes = open_.withColumn("size", F.explode(F.array(*[F.lit(n) for n in PREFIXES]))).where(F.length("message") >= F.col("size"))
-    probes = probes.withColumn("prefix", F.expr("substring(message, 1, size)"))
-    hits = probes.join(template_index(nodes), ["function", "size", "prefix"]).where(F.expr("message rlike pattern"))
+    hits = _probes(open_).join(template_index(nodes), ["function", "size", "prefix"]).where(F.expr("message rlike pattern"))
     fitting = hits.groupBy("function", "message").agg(F.min_by("node_id", "ord").alias("template_id"))
     out = looked.join(fitting, ["function", "message"], "left")
     tier = F.when(F.col("exact_id").isNotNull(), 1).when(F.col("relaxed_id").isNotNull(), 2).when(F.col("template_id").isNotNull(), 3)
@@ -66,8 +70,11 @@ def resolve_go(events: DataFrame, nodes: DataFrame) -> DataFrame:
     named = events.withColumn("__fn", T.go_function_name(F.col("go_function")))
     looked = named.join(unique_templates(nodes), "message", "left")
     open_ = looked.where("unique_id is null and message is not null").select("__fn", "message").distinct()
-    heads = nodes.groupBy(F.col("function").alias("__fn"), F.col("message_template").alias("head")).agg(F.min("node_id").alias("node_id"))
-    hits = open_.join(heads, "__fn").where(F.startswith("message", "head"))
+    heads = nodes.where("function is not null and message_template is not null").groupBy(F.col("function").alias("__fn"), F.col("message_template").alias("head")).agg(F.min("node_id").alias("node_id"))
+    # met by the longest prefix that a template has, so most templates of a function are never compared
+    size = F.coalesce(*[F.when(F.length("head") >= n, F.lit(n)) for n in PREFIXES])
+    heads = heads.withColumn("size", size).withColumn("prefix", F.expr("substring(head, 1, size)"))
+    hits = _probes(open_).join(heads, ["__fn", "size", "prefix"]).where(F.startswith("message", "head"))
     best = hits.groupBy("__fn", "message").agg(F.max_by("node_id", F.length("head")).alias("prefix_id"))
     out = looked.join(best, ["__fn", "message"], "left")
     tier = F.when(F.col("unique_id").isNotNull(), 1).when(F.col("prefix_id").isNotNull(), 2)

@@ -24,23 +24,24 @@ DERIVED = {
                case when ord % 3 = 0 then p_name else p_name || ' order ' || cast(l_orderkey as string) || ' took ' || cast(l_linenumber as string) || ' ms' end as message
         from {lineitem} join {part} on l_partkey = p_partkey join {sites} on p_partkey = ord""",
     "call_nodes": """
-        select 'n' || cast(k as string) as node_id, 'app.m' || cast(k % 12 as string) as module,
-               case when k % 5 = 0 then 'run_task_' || cast(k as string) when k % 5 = 1 then 'Svc.get_item_' || cast(k % 7 as string) else 'load_' || cast(k % 9 as string) end as function,
-               'src/app/m' || cast(k % 12 as string) || case (k % 12) % 3 when 0 then '.py' when 1 then '.go' else '.ts' end as file,
+        select 'n' || cast(k as string) as node_id, 'app.m' || cast(m as string) as module,
+               case when k % 5 = 0 then 'run_task_' || cast(k as string) when k % 5 = 1 then 'Svc.get_item_' || cast(g as string) else 'load_' || cast(g as string) end as function,
+               'src/app/m' || cast(m as string) || case m % 3 when 0 then '.py' when 1 then '.go' else '.ts' end as file,
                k as ord
-        from (select p_partkey as k from {part} where p_partkey < 80) x""",
+        from (select p_partkey as k, cast(floor(p_partkey / 12) as bigint) as m, cast(floor(p_partkey / 30) as bigint) as g from {part}) x""",
     "calls": """
         select distinct
-               'app.m' || cast(a % 12 as string) || case when l_linenumber % 3 = 0 then '.Svc' else '' end || '.' ||
-               case when a % 5 = 0 then 'run_task_' || cast(a as string) when a % 5 = 1 then 'get_item_' || cast(a % 7 as string) else 'load_' || cast(a % 9 as string) end as caller,
-               case l_linenumber % 4 when 0 then case when b % 5 = 0 then 'run_task_' || cast(b as string) when b % 5 = 1 then 'get_item_' || cast(b % 7 as string) else 'load_' || cast(b % 9 as string) end
-                 when 1 then 'Svc.get_item_' || cast(b % 7 as string) when 2 then 'runTask' || cast(b as string) else 'helper' end as callee
-        from (select l_partkey % 80 as a, l_suppkey % 80 as b, l_linenumber from {lineitem}) x""",
+               'app.m' || cast(cast(floor(a / 12) as bigint) as string) || case when l_linenumber % 3 = 0 then '.Svc' else '' end || '.' ||
+               case when a % 5 = 0 then 'run_task_' || cast(a as string) when a % 5 = 1 then 'get_item_' || cast(ag as string) else 'load_' || cast(ag as string) end as caller,
+               case l_linenumber % 4 when 0 then case when b % 5 = 0 then 'run_task_' || cast(b as string) when b % 5 = 1 then 'get_item_' || cast(bg as string) else 'load_' || cast(bg as string) end
+                 when 1 then 'Svc.get_item_' || cast(bg as string) when 2 then 'runTask' || cast(b as string) else 'helper' end as callee
+        from (select l_partkey as a, cast(floor(l_partkey / 30) as bigint) as ag, l_partkey + l_suppkey % 40 as b,
+                     cast(floor((l_partkey + l_suppkey % 40) / 30) as bigint) as bg, l_linenumber from {lineitem}) x""",
     "imports": """
-        select distinct 'app.m' || cast(l_partkey % 14 as string) as module,
-               case l_linenumber % 4 when 0 then 'app.m' || cast(l_suppkey % 14 as string) when 1 then '.m' || cast(l_suppkey % 14 as string)
-                 when 2 then 'vendor.app.m' || cast(l_suppkey % 20 as string) else 'os.path' end as import
-        from {lineitem}""",
+        select distinct 'app.m' || cast(m as string) as module,
+               case l_linenumber % 4 when 0 then 'app.m' || cast(m + l_suppkey % 5 as string) when 1 then '.m' || cast(m + l_suppkey % 5 as string)
+                 when 2 then 'vendor.app.m' || cast(m + l_suppkey % 20 as string) else 'os.path' end as import
+        from (select cast(floor(l_partkey / 12) as bigint) as m, l_suppkey, l_linenumber from {lineitem}) x""",
     "defined": """
         select distinct 'app.brand' || cast(1 + s_suppkey % 25 as string) || ':' || prefix || lower(p_type) as key
         from {supplier} cross join (select distinct p_type from {part}) t

@@ -7,6 +7,8 @@ first that fits is taken, so nothing is aggregated and no state is kept.
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,10 +52,11 @@ def error_rates(events: DataFrame, window: str = "10 minutes", late: str = "30 m
     return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "module", "total", "errors", share.alias("error_pct"))
 
 
-def json_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stream of JSON lines; lines that do not begin with a brace are left out, unreadable ones have nulls."""
-    lines = spark.readStream.format("text").load(path).where(F.startswith(F.ltrim("value"), F.lit("{")))
-    return lines.select(F.from_json("value", schema).alias("e")).select("e.*")
+def json_events(spark: SparkSession, path: str, schema: str, text: str = "line") -> DataFrame:
+    """A stream of JSON lines: their fields at the root; a line that does not begin with a brace, or is no JSON, passes in column `text`."""
+    fields = F.when(F.startswith(F.ltrim("value"), F.lit("{")), F.from_json("value", schema))
+    lines = spark.readStream.format("text").load(path).select("value", fields.alias("e"))
+    return lines.select("e.*", F.when(F.col("e").isNull(), F.col("value")).alias(text))
 
 
 def start(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -64,7 +67,12 @@ def start(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 def run_available(events: DataFrame, nodes: DataFrame, dimension: DataFrame) -> DataFrame:
     """All events through the streaming plan and its sink, in the shared folder; the graph is written first and so read as it stood."""
     spark = events.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that the driver and all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     base = f"{base}/stream-{uuid.uuid4().hex}"
     events.write.parquet(f"{base}/in")
     nodes.select("node_id", "ord", "module", "function", "message_template").write.parquet(f"{base}/nodes")

@@ -107,8 +107,9 @@ def test_streams(spark, project, tmp_path):
     stream = streaming.json_events(spark, str(tmp_path / "in"), schema)
     streaming.start(project.enrich(stream), str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert len(out) == 6 and all(r.provenance.function == "run" for r in out)
-    rates = streaming.error_rates(streaming.json_events(spark, str(tmp_path / "in"), schema), "2 minutes", "1 minute")
+    assert [r.line for r in out if r.line is not None] == ["not json"]
+    assert len(out) == 7 and all(r.provenance.function == "run" for r in out if r.line is None)
+    rates = streaming.error_rates(streaming.json_events(spark, str(tmp_path / "in"), schema).where("line is null"), "2 minutes", "1 minute")
     streaming.start(rates, str(tmp_path / "rates"), str(tmp_path / "log2")).awaitTermination()
     assert all(r.total == 2 and r.errors == 1 for r in spark.read.parquet(str(tmp_path / "rates")).collect())
     assert streaming.enrich_stream(stream, None, None) is stream
