@@ -32,7 +32,7 @@ SIDES = (-2, -1, 1, 2)
 HIDDEN = 16
 EDGE = CLASSES  # stands before the first and after the last word
 #: Tokens scored, words remembered and windows shuffled at once.
-CHUNK, KNOWN, BLOCK = 16_384, 300_000, 16_384
+CHUNK, KNOWN, BLOCK = 8_192, 300_000, 16_384
 #: Half an occurrence more for every word of a class, and for one that was never seen.
 ADDED = 0.5
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
@@ -147,7 +147,8 @@ class Network:
         row = np.arange(len(target))
         one = np.tanh(a) @ self.high.T + self.high_bias
         two = np.tanh(a + self.given[first]) @ self.low.T + self.low_bias[first]
-        return one[row, first] + two[row, second] - np.log(_sums(one)[1]) - np.log(_sums(two)[1])
+        value = one[row, first] + two[row, second]
+        return value - np.log(_sums(one)[1] * _sums(two)[1].astype(np.float64))
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         """Gradient of the negative log-likelihood, summed over windows."""
@@ -163,20 +164,23 @@ class Network:
         e2[row, second] -= 1
         which = np.zeros((len(target), DIGIT), dtype=a.dtype)
         which[row, first] = 1
-        da2 = (e2 @ self.low) * (1 - h2 * h2)
-        da = (e1 @ self.high) * (1 - h * h) + da2
+        da2, da = e2 @ self.low, e1 @ self.high
+        da2 -= da2 * h2 * h2
+        da -= da * h * h
+        da += da2
         # each side's word gets the whole of da
-        unit, weights = np.arange(HIDDEN), da.reshape(-1)
+        unit, weights = np.arange(HIDDEN), da.reshape(-1).astype(np.float64)
         side = np.empty_like(self.side)
         for k in range(len(SIDES)):
-            at = np.repeat(context[:, k] * HIDDEN, HIDDEN).reshape(-1, HIDDEN) + unit
+            at = (context[:, k].astype(np.int64) * HIDDEN)[:, None] + unit
             side[k] = np.bincount(at.reshape(-1), weights, side[k].size).reshape(-1, HIDDEN)
         return {"side": side, "hidden": da.sum(axis=0), "high": e1.T @ h, "high_bias": e1.sum(axis=0), "given": which.T @ da2, "low": e2.T @ h2, "low_bias": which.T @ e2}
 
 
 def _sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """exp of logits, in the range of single precision, and their sums by row."""
-    x = np.exp(np.clip(x, -80, 80))
+    np.clip(x, -80, 80, out=x)
+    np.exp(x, out=x)
     return x, x @ np.ones(x.shape[1], dtype=x.dtype)
 
 
@@ -186,7 +190,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def fitted(net: Network, blocks: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = 0.1, batch: int = 1024) -> tuple[Network, int]:
+def fitted(net: Network, blocks: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = 0.1, batch: int = 2048) -> tuple[Network, int]:
     """net after one pass of AdaGrad over blocks of windows (contexts, targets), and how many windows there were."""
     net = net.like(net.flat())
     square = {f.name: np.full(getattr(net, f.name).shape, 1e-2 * batch, dtype=np.float32) for f in fields(net)}
@@ -197,15 +201,20 @@ def fitted(net: Network, blocks: Iterator[tuple[np.ndarray, np.ndarray]], rate:
         for at in range(0, len(order), batch):
             part = order[at : at + batch]
             for name, g in net.gradient(context[part], target[part]).items():
-                square[name] += g * g
-                getattr(net, name)[...] -= rate * g / np.sqrt(square[name])
+                step = g * g
+                square[name] += step
+                np.sqrt(square[name], out=step)
+                np.divide(g, step, out=step)
+                step *= rate
+                value = getattr(net, name)
+                value -= step
     return net, seen
 
 
 def windows(texts: list[np.ndarray], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(contexts, targets) of every token of texts of classes, in order, at most `most` at a time."""
     gap = np.array([EDGE, EDGE], dtype=np.int64)
-    flat = np.concatenate([x for t in texts for x in (gap, t)] + [gap])
+    flat = np.concatenate([x for t in texts for x in (gap, t)] + [gap]).astype(np.int32)
     at = np.flatnonzero(flat != EDGE)
     for i in range(0, len(at), most):
         here = at[i : i + most]
