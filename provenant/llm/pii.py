@@ -16,10 +16,10 @@ from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import column, finished, materialize, rewritten, split_by_key
+from provenant.llm.common import column, finished, free_name, materialize, rewritten, split_by_key
 
 #: Titles that announce a name, by the gender they tell ("" for none).
 TITLES = {
@@ -27,7 +27,7 @@ TITLES = {
     "f": "Mrs Ms Miss Madam Frau Madame Mme Mademoiselle Señora Señorita Doña Signora г-жа госпожа κυρία",
     "": "Dr Prof Professor",
 }
-_GENDER = {t: g for g, ts in TITLES.items() for t in ts.split()}
+_GENDER = {form: g for g, ts in TITLES.items() for t in ts.split() for form in (t, t.upper())}
 _TITLE = re.compile(r"(?<!\w)(" + "|".join(map(re.escape, sorted(_GENDER, key=len, reverse=True))) + r")(?:\. ?| )(?=\S)")
 _NAME = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
@@ -61,8 +61,9 @@ def _iban_ok(value: str) -> bool:
 
 
 def script_of(word: str) -> str:
-    name = unicodedata.name(word[0], "LATIN")
-    return next((s for s in ("CYRILLIC", "GREEK") if name.startswith(s)), "LATIN").lower()
+    """The script of a word's first letter, by the first word of its Unicode name; latin where names of that script cannot be made up."""
+    script = unicodedata.name(word[0], "LATIN").split()[0].lower()
+    return script if script in SOUNDS or script in LETTERS else "latin"
 
 
 def _emails(text: str) -> Iterator[Span]:
@@ -100,10 +101,15 @@ def _numbers(text: str) -> Iterator[Span]:
 
 
 def _names(text: str) -> Iterator[Span]:
-    """Words of names after a title; the last is a family name if there are two or more, or if it stands alone."""
+    """Words of names after a title; the last is a family name if there are two or more, or if it stands alone.
+
+    A name begins with a capital, or has letters without case; after a title
+    in capitals all of it may be.
+    """
     for m in _TITLE.finditer(text):
-        at, words, up = m.end(), [], False
-        while len(words) < 3 and (w := _NAME.match(text, at)) and w[0][0].isupper() and not w[0].isupper():
+        at, words = m.end(), []
+        capitals = m[1].isupper()
+        while len(words) < 3 and (w := _NAME.match(text, at)) and not w[0][0].islower() and (not w[0].isupper() or capitals and len(w[0]) > 1):
             words.append(w)
             at = w.end()
             if text[at : at + 1] != " ":
@@ -115,26 +121,33 @@ def _names(text: str) -> Iterator[Span]:
             yield w.start(), w.end(), f"{kind}-{script_of(w[0])}", w[0].lower()
 
 
+def _again(text: str, names: list[Span]) -> Iterator[Span]:
+    """Every other place of the names, as they are or in capitals, also before an apostrophe and alone."""
+    known = {}
+    for a, b, kind, value in names:
+        for form in (text[a:b], text[a:b].upper(), text[a:b].capitalize()):
+            known.setdefault(form, (kind, value))
+    for m in _NAME.finditer(text):
+        word = m[0] if m[0] in known else re.split("['’]", m[0])[0]
+        if word in known:
+            yield m.start(), m.start() + len(word), *known[word]
+
+
 def entities(text: str) -> list[Span]:
     """start, end, type and canonical value of what is found, in order and disjoint; the earlier and more telling type wins.
 
-    A family or given name found after a title is an entity wherever it
-    stands in the text next to another part of a name found so.
+    A name found after a title is an entity wherever it stands in the text.
     """
     found = list(_emails(text)) if "@" in text else []
     if _DIGIT.search(text):
         found += _numbers(text)
     names = list(_names(text))
     if names:
-        known = {text[a:b]: kind for a, b, kind, _ in names}
-        for run in re.finditer(r"(?<!\w)(?:%s)(?: (?:%s))+(?!\w)" % (("|".join(map(re.escape, known)),) * 2), text):
-            at = run.start()
-            for part in run[0].split(" "):
-                names.append((at, at + len(part), known[part], part.lower()))
-                at += len(part) + 1
+        names += _again(text, names)
     rank = {"secret": 0, "email": 1, "iban": 2, "ip": 3, "card": 4, "ssn": 5, "phone": 6}
     out: list[Span] = []  # disjoint and in order
-    for span in sorted(set(found + names), key=lambda s: (rank.get(s[2], 7), s[0])):
+    # of one place, the kind found after the title goes first
+    for span in sorted(dict.fromkeys(found + names), key=lambda s: (rank.get(s[2], 7), s[0])):
         at = bisect(out, span)
         if (not at or out[at - 1][1] <= span[0]) and (at == len(out) or span[1] <= out[at][0]):
             out.insert(at, span)
@@ -174,10 +187,21 @@ SOUNDS = {
 }
 
 
+#: First and last letters of scripts whose names are drawn letter by letter (fixed values).
+LETTERS = {
+    "cjk": "一龥", "hangul": "가힣", "hiragana": "あん", "katakana": "アン", "arabic": "اي", "hebrew": "את", "devanagari": "कह", "thai": "กฮ",
+    "armenian": "աֆ", "georgian": "აჰ", "bengali": "কহ", "tamil": "கஹ", "ethiopic": "ሀፐ",
+}
+
+
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
-    """The attempt-th surrogate of a canonical value. From the eighth on formats give way: one more character or digit."""
+    """The attempt-th surrogate of a canonical value.
+
+    After every eight attempts formats give way to one more character or
+    digit, so there is room for every value in the end.
+    """
     draw = _Draw(key, kind, value, attempt)
-    wide = attempt >= 8
+    wide = attempt // 8
     if kind == "email":
         local, domain = value.split("@", 1)
         labels = domain.split(".")
@@ -185,39 +209,42 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     if kind == "ip":
         spans = {1: (0, 10), 2: (10, 100), 3: (100, 256)}
         bounds = [(0, 256) if wide else spans[len(x)] for x in value.split(".")]
-        return ".".join(str(a + draw.below(b - a)) for a, b in bounds)
+        return ".".join(str(a + draw.below(b - a)) for a, b in bounds) + (":" + "".join(draw.digit() for _ in range(wide - 1)) if wide > 1 else "")
     if kind == "card":
-        body = value[0] + "".join(draw.digit() for _ in value[2:])
+        body = value[0] + "".join(draw.digit() for _ in range(len(value) - 2 + wide))
         check = next(str(d) for d in range(10) if luhn(body + str(d)))
         return body + (check if luhn(value) else str((int(check) + 1 + draw.below(9)) % 10))
     if kind == "iban":
-        body = draw.like(value[4:])
+        body = draw.like(value[4:] + "0" * wide)
         rest = int("".join(str(int(c, 36)) for c in body + value[:2] + "00")) % 97
         return f"{value[:2]}{98 - rest:02d}{body}"
     if kind == "phone":
         code, digits = value.split("|")
-        return f"{code}|" + "".join(draw.digit() for _ in digits)
+        return f"{code}|" + "".join(draw.digit() for _ in range(len(digits) + wide))
     if kind == "secret" and re.fullmatch("[0-9a-f]+", value):
-        return "".join("0123456789abcdef"[draw.below(16)] for _ in value)
+        return "".join("0123456789abcdef"[draw.below(16)] for _ in range(len(value) + wide))
     if kind.startswith(("first", "last")):
         which, *rest = kind.split("-")
+        if rest[-1] in LETTERS:
+            low, high = map(ord, LETTERS[rest[-1]])
+            return "".join(chr(low + draw.below(high - low + 1)) for _ in range(max(1, len(value)) + wide))
         consonants, vowels, ends = SOUNDS[rest[-1]]
         syllables = max(2, min(4, len(value) // 2)) + wide + attempt // 4
         word = "".join(consonants[draw.below(len(consonants))] + vowels[draw.below(len(vowels))] for _ in range(syllables))
         return word + ends[rest[0] if which == "first" else ""]
-    return draw.like(value)
+    return draw.like(value + "0" * wide)
 
 
 def formatted(mention: str, kind: str, new: str) -> str:
     """A surrogate in the format of a mention: its separators, its case."""
     if kind in ("card", "ssn", "phone"):
         digits = iter(new.replace("+", "").replace("|", ""))
-        return "".join(next(digits, "") if c.isdigit() else c for c in mention)
+        return "".join([next(digits, "") if c.isdigit() else c for c in mention] + list(digits))
     if kind == "iban":
         chars = iter(new)
-        return "".join(c if c == " " else next(chars, "") for c in mention)
+        return "".join([c if c == " " else next(chars, "") for c in mention] + list(chars))
     if kind.startswith(("first", "last")):
-        return new[0].upper() + new[1:]
+        return new.upper() if len(mention) > 1 and mention.isupper() else new[0].upper() + new[1:]
     if any(c.isupper() for c in mention) and mention.upper() == mention:
         return new.upper()
     return new
@@ -244,11 +271,18 @@ def found_entities(documents: DataFrame) -> DataFrame:
     return documents.select("key", "text").mapInArrow(of, SPANS)
 
 
-def surrogates(values: DataFrame, key: bytes) -> DataFrame:
-    """kind, value, new of distinct values(kind, value): new values differ from each other and from every real one of their kind.
+def name_class(kind: Column) -> Column:
+    """What a value is distinct in: names of one script are one class, whatever place or title they were found with."""
+    return F.when(kind.rlike("^(first|last)-"), F.concat(F.lit("name-"), F.substring_index(kind, "-", -1))).otherwise(kind)
+
+
+def surrogates(mentions: DataFrame, key: bytes) -> DataFrame:
+    """class, kind, value, new of mentions(kind, value): new values differ from each other and from every real one of their class.
 
-    Those that collide are drawn again, but for the smallest of each clash;
-    a fixed one is never given up, so each round settles more.
+    A name found in several kinds has one surrogate: that of a gender if one
+    is told, else of the most frequent kind. Those that collide are drawn
+    again, but for the smallest of each clash; a fixed one is never given up,
+    so each round settles more, and room grows with the attempts.
     """
 
     def drawn(rows: DataFrame, attempt: int) -> DataFrame:
@@ -256,50 +290,62 @@ def surrogates(values: DataFrame, key: bytes) -> DataFrame:
             for batch in batches:
                 kinds, values = column(batch, "kind"), column(batch, "value")
                 new = [surrogate(key, k.as_py(), v.as_py(), attempt) for k, v in zip(kinds, values)]
-                yield pa.RecordBatch.from_arrays([kinds, values, pa.array(new, pa.string())], names=["kind", "value", "new"])
+                yield pa.RecordBatch.from_arrays([column(batch, "class"), kinds, values, pa.array(new, pa.string())], names=["class", "kind", "value", "new"])
 
-        return rows.mapInArrow(of, "kind string, value string, new string")
+        return rows.select("class", "kind", "value").mapInArrow(of, "class string, kind string, value string, new string")
 
-    values = materialize(values.select("kind", "value").distinct(), "pii-values")
-    real = values.select("kind", F.col("value").alias("new"))
+    counts = mentions.groupBy(name_class(F.col("kind")).alias("class"), "value", "kind").count()
+    told = F.struct(F.col("kind").rlike("^first-[mf]-"), "count", "kind")
+    values = materialize(counts.groupBy("class", "value").agg(F.max_by("kind", told).alias("kind")), "pii-values")
+    real = values.select("class", F.col("value").alias("new"))
     open_, settled, attempt = values, None, 0
     while True:
         tried = materialize(drawn(open_, attempt), "pii-tried")
-        first = tried.groupBy("kind", "new").agg(F.min("value").alias("value"))
-        fine = first.join(real, ["kind", "new"], "left_anti")
+        first = tried.groupBy("class", "new").agg(F.min("value").alias("value"))
+        fine = first.join(real, ["class", "new"], "left_anti")
         if settled is not None:
-            fine = fine.join(settled.select("kind", "new"), ["kind", "new"], "left_anti")
-        fine = fine.select("kind", "value", "new")
+            fine = fine.join(settled.select("class", "new"), ["class", "new"], "left_anti")
+        fine = fine.join(tried, ["class", "value", "new"]).select("class", "kind", "value", "new")
         settled = materialize(fine if settled is None else settled.unionByName(fine), "pii-settled")
-        open_ = materialize(open_.join(settled, ["kind", "value"], "left_anti"), "pii-open")
+        open_ = materialize(open_.join(settled, ["class", "value"], "left_anti"), "pii-open")
         attempt += 1
         if open_.isEmpty():
             return settled
 
 
-def pseudonymize(documents: DataFrame, key: bytes = b"provenant") -> DataFrame:
-    """documents with surrogates in their text, and __entities: start, stop (code points of the old text), kind, new value of each.
+def pseudonymize(documents: DataFrame, key: bytes, listed_as: str = "entities") -> DataFrame:
+    """documents with surrogates in their text, and column `listed_as`: start, stop (code points of the old text), kind, new value of each.
 
     Found are e-mail addresses, IPv4 addresses, card and account numbers,
     IBANs, social security and telephone numbers, tokens of 20 characters and
-    more that mix letters and digits, and names after titles. Texts without
-    any are unchanged, null stays null, and repeated rows are treated alike.
-    Other columns are carried along; an empty table gives an empty result.
+    more that mix letters and digits, and names after titles, with every other
+    mention of them in the text. Whoever has the key can tell surrogates again
+    from values, so there is no default. Texts without any are unchanged, null
+    stays null, and repeated rows are treated alike. Other columns are carried
+    along, whatever their names (but `listed_as`); an empty table gives an
+    empty result.
     """
-    keyed = documents.withColumn("__pii_key", F.xxhash64("doc_id", "text"))
-    source = keyed.select(F.col("__pii_key").alias("key"), "text")
+    if not key:
+        raise ValueError("a secret key is needed")
+    if listed_as.lower() in {c.lower() for c in documents.columns}:
+        raise ValueError(f"documents already have a column {listed_as}")
+    mark = free_name(documents, "pii_key")
+    keyed = documents.withColumn(mark, F.xxhash64("doc_id", "text"))
+    source = keyed.select(F.col(mark).alias("key"), "text")
 
     def listed() -> DataFrame:
         spans = materialize(found_entities(source).distinct(), "pii-spans")
+        new = surrogates(spans, key).select("class", "value", "new")
         each = F.struct("start", "stop", "kind", "new")
-        return spans.join(surrogates(spans, key), ["kind", "value"]).groupBy("key").agg(F.array_sort(F.collect_list(each)).alias("__entities"))
+        spans = spans.withColumn("class", name_class(F.col("kind")))
+        return spans.join(new, ["class", "value"]).groupBy("key").agg(F.array_sort(F.collect_list(each)).alias(listed_as))
 
-    lists = finished(listed, documents.sparkSession, "pii-lists").withColumnRenamed("key", "__pii_key")
-    told, clean = split_by_key(keyed, lists, "__pii_key", "__pii_key")
+    lists = finished(listed, documents.sparkSession, "pii-lists").withColumnRenamed("key", mark)
+    told, clean = split_by_key(keyed, lists, mark, mark)
     names = [f"`{n}`" for n in documents.columns]
     none = F.expr("cast(array() as array<struct<start:int,stop:int,kind:string,new:string>>)")
-    told = told.join(lists, "__pii_key", "left").select(*names, F.coalesce("__entities", none).alias("__entities"))
-    return clean.select(*names, none.alias("__entities")).unionByName(rewritten(told, "__entities", _replaced, keep=True))
+    told = told.join(lists, mark, "left").select(*names, F.coalesce(listed_as, none).alias(listed_as))
+    return clean.select(*names, none.alias(listed_as)).unionByName(rewritten(told, listed_as, _replaced, keep=True))
 
 
 def _replaced(text: str | None, spans: list[dict]) -> str | None:
@@ -312,8 +358,8 @@ def _replaced(text: str | None, spans: list[dict]) -> str | None:
     return "".join([*parts, text[at:]])
 
 
-def op9_pii(documents: DataFrame) -> DataFrame:
+def op9_pii(documents: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with surrogates, n_entities, kinds (distinct, sorted, comma-joined) of every row of documents(doc_id, text)."""
-    out = pseudonymize(documents.select("doc_id", "text"))
-    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("__entities", lambda e: e["kind"]))), ",")
-    return out.select("doc_id", "text", F.size("__entities").cast("long").alias("n_entities"), kinds.alias("kinds"))
+    out = pseudonymize(documents.select("doc_id", "text"), key)
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"]))), ",")
+    return out.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"))
