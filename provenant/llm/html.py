@@ -228,14 +228,37 @@ SUMS = ("nlogn", "total", "logn", "features")
 HELD, PARTS = 1_000_000, 16
 
 
-def page_features(page: Page) -> set[tuple[int, int, int]]:
-    """(node, kind, feature) of a page, each once: looks of children; words, link targets and images."""
-    hash_ = xxhash.xxh64_intdigest
-    out = {(key, LOOK, look & (2**48 - 1)) for key, look in page.looks}
+class _Words(dict):
+    """word -> feature; remembers a bounded number."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= HELD:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word) >> 16
+        return value
+
+
+def node_features(page: Page, words: _Words) -> Iterator[tuple[int, int, list[int]]]:
+    """node, kind and different features of a page: looks of children; words, link targets and images."""
+    looks: dict[int, set[int]] = {}
+    for key, look in page.looks:
+        looks.setdefault(key, set()).add(look & (2**48 - 1))
+    texts: dict[int, set[str]] = {}
     for text, key, _, _ in page.blocks:
-        out |= {(key, TEXT, hash_(w) >> 16) for w in text.split()}
-    used = {key for _, key, _, _ in page.blocks}
-    return out | {(key, TEXT, hash_(t, 1) >> 16) for key, t in page.targets if key in used}
+        texts.setdefault(key, set()).update(text.split())
+    targets: dict[int, set[str]] = {}
+    for key, target in page.targets:
+        if key in texts:
+            targets.setdefault(key, set()).add(target)
+    for key, found in looks.items():
+        yield key, LOOK, list(found)
+    for key, found in texts.items():
+        links = [xxhash.xxh64_intdigest(t, 1) >> 16 for t in targets.get(key, ())]
+        yield key, TEXT, [*map(words.__getitem__, found), *links]
+
+
+def page_features(page: Page) -> set[tuple[int, int, int]]:
+    return {(key, kind, x) for key, kind, found in node_features(page, _Words()) for x in found}
 
 
 def style_rows(pages: DataFrame) -> DataFrame:
@@ -249,10 +272,13 @@ def style_rows(pages: DataFrame) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts: dict[str, int] = {}
         paths: dict[tuple[int, int], list[int]] = {}
-        held: list[tuple[int, int, int, int]] = []
+        heads: list[tuple[int, int, int]] = []
+        sizes: list[int] = []
+        held: list[int] = []
+        words_of = _Words()
 
         def made() -> pa.RecordBatch:
-            rows = np.array(held, dtype=np.int64).reshape(-1, 4)
+            rows = np.column_stack([np.repeat(np.array(heads, dtype=np.int64), sizes, axis=0), np.array(held, dtype=np.int64)])
             rows = rows[np.lexsort(rows.T[::-1])]
             new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
             n = np.diff(np.append(np.flatnonzero(new), len(rows)))
@@ -273,14 +299,16 @@ def style_rows(pages: DataFrame) -> DataFrame:
             for host, source in zip(column(batch, "host").to_pylist(), column(batch, "html")):
                 page = parse(source.as_py() or "")
                 h = hosts.setdefault(host, len(hosts))
-                for node, kind, feature in page_features(page):
+                for node, kind, found in node_features(page, words_of):
                     if node:
                         if (h, node) not in paths:
                             paths[h, node] = page.path(node)
-                        held.append((h, node, kind, feature))
+                        heads.append((h, node, kind))
+                        sizes.append(len(found))
+                        held += found
                 if len(held) >= HELD:
                     yield made()
-                    hosts, paths, held = {}, {}, []
+                    hosts, paths, heads, sizes, held = {}, {}, [], [], []
         if held:
             yield made()
 
