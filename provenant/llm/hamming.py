@@ -20,11 +20,11 @@ CHUNK, FRONT = 500_000, 100_000
 
 
 def hamming_links(fingerprints: DataFrame, max_bits: int, capacity: int = 16_384) -> DataFrame:
-    """src, dst links that connect the nodes of fingerprints(node long, fp long) as all pairs within max_bits do.
+    """src, dst links that connect distinct fingerprints(fp long) as all pairs within max_bits do.
 
-    fp is to be unique per node pair (collapse copies first). Each task returns
-    a spanning forest of its links, never all pairs. An empty table gives no
-    links. See _trie_rows for how the trie is dealt out.
+    Collapse copies first. Each task returns a spanning forest of its links,
+    never all pairs. An empty table gives no links. See _trie_rows for how the
+    trie is dealt out.
     """
 
     def links(node: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +37,7 @@ def hamming_links(fingerprints: DataFrame, max_bits: int, capacity: int = 16_384
 
 
 def hamming_groups(fingerprints: DataFrame, max_bits: int, capacity: int = 16_384) -> DataFrame:
-    """root, node: small groups of fingerprints(node, fp); every pair within max_bits is together in one of them.
+    """root, node: small groups of distinct fingerprints(fp long); every pair within max_bits is together in one of them.
 
     A group is what one task has linked, so there are several of the same
     nodes; equal groups have equal roots.
@@ -57,7 +57,9 @@ def hamming_groups(fingerprints: DataFrame, max_bits: int, capacity: int = 16_38
 
 
 def _trie_rows(fingerprints: DataFrame, max_bits: int, capacity: int) -> DataFrame:
-    """key, home, word, node: the members of trie nodes that are joined in one task each.
+    """rot, depth, prefix, home, word: the members of trie nodes (the first three) that are joined in one task each.
+
+    A word is a fingerprint turned left by _shifts[rot].
 
     Two words within max_bits agree on one of max_bits + 1 blocks, so the trie
     is built once per block with that block rotated to the top and no error
@@ -69,13 +71,12 @@ def _trie_rows(fingerprints: DataFrame, max_bits: int, capacity: int) -> DataFra
     probe all prefixes within the budget left, as often as needed; probes of
     prefixes at which no word lives are dropped.
     """
-    blocks = _blocks(max_bits + 1)
-    shift = F.array(*[F.lit(64 - low - width) for low, width in blocks])
-    depth = F.array(*[F.lit(width) for _, width in blocks])
+    shift = F.array(*[F.lit(x) for x in _shifts(max_bits)])
+    depth = F.array(*[F.lit(width) for _, width in _blocks(max_bits + 1)])
     turn = F.col("rot")
-    ready = fingerprints.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(max_bits))).alias("rot"))
-    ready = ready.select("node", "rot", _rotated(F.col("fp"), F.get(shift, turn)).alias("word"), F.get(depth, turn).alias("depth"))
-    ready = ready.select("node", "rot", "depth", "word", _prefix("word", F.col("depth")).alias("prefix"), F.lit(0).alias("errors"), F.lit(True).alias("home"))
+    ready = fingerprints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(max_bits))).alias("rot"))
+    ready = ready.select("rot", _rotated(F.col("fp"), F.get(shift, turn)).alias("word"), F.get(depth, turn).alias("depth"))
+    ready = ready.select("rot", "depth", "word", _prefix("word", F.col("depth")).alias("prefix"), F.lit(0).alias("errors"), F.lit(True).alias("home"))
     parts, key = [], ["rot", "depth", "prefix"]
     full = materialize(_over(ready, key, capacity), "trie-full")
     while not full.isEmpty():
@@ -88,19 +89,23 @@ def _trie_rows(fingerprints: DataFrame, max_bits: int, capacity: int) -> DataFra
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)
-    return rows.select(F.xxhash64(*key).alias("key"), "home", "word", "node")
+    return rows.select(*key, "home", "word")
 
 
 def _joined(rows: DataFrame, max_bits: int, told: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], names: tuple[str, str]) -> DataFrame:
-    """What told(nodes, smallest linked index of each) says of each task's tries."""
+    """What told(fingerprints, smallest linked index of each) says of each task's tries."""
     unsigned = F.col("word").bitwiseXOR(F.lit(-(1 << 63)))
-    rows = rows.repartition("key").sortWithinPartitions("key", F.desc("home"), unsigned)
+    key, shifts = ["rot", "depth", "prefix"], np.array(_shifts(max_bits), dtype=np.uint64)
+    # the short parts of the key pack well, their hash would not: it is made after the shuffle
+    rows = rows.repartition(*key).select(F.xxhash64(*key).alias("key"), "rot", "home", "word")
+    rows = rows.sortWithinPartitions("key", F.desc("home"), unsigned)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["key"]):
-            node = table.column("node").to_numpy()
             word = table.column("word").to_numpy().view(np.uint64)
-            label = np.arange(len(node))
+            back = shifts[table.column("rot").to_numpy()]
+            node = ((word >> back) | (word << (np.uint64(64) - back & np.uint64(63)))).view(np.int64)
+            label = np.arange(len(word))
             for a, b in trie_join(word, table.column("home").to_numpy(), group_starts(table, ["key"]), max_bits):
                 label = merged(label, a, b)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in told(node, label)], names=list(names))
@@ -114,6 +119,11 @@ def _blocks(count: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def _shifts(max_bits: int) -> list[int]:
+    """How far left a word is turned to bring each block to the top."""
+    return [64 - low - width for low, width in _blocks(max_bits + 1)]
+
+
 def _rotated(word, shift):
     """word turned left by shift bits; the JVM takes shifts modulo 64, so none is a special case."""
     return F.call_function("shiftleft", word, shift).bitwiseOR(F.call_function("shiftrightunsigned", word, F.lit(64) - shift))
@@ -139,7 +149,7 @@ def _split(rows: DataFrame, max_bits: int) -> DataFrame:
     out = out.withColumn("depth", F.col("depth") + STEP).withColumn("own", _prefix("word", F.col("depth")).bitwiseAND(F.lit((1 << STEP) - 1)))
     out = out.where(F.expr("not home or mask = 0 or (own ^ mask) < own"))
     prefix = F.call_function("shiftleft", F.col("prefix"), F.lit(STEP)).bitwiseOR(F.col("own").bitwiseXOR(F.col("mask")))
-    return out.select("node", "rot", "depth", "word", prefix.alias("prefix"), "errors", (F.col("home") & (F.col("mask") == 0)).alias("home"))
+    return out.select("rot", "depth", "word", prefix.alias("prefix"), "errors", (F.col("home") & (F.col("mask") == 0)).alias("home"))
 
 
 def trie_join(word: np.ndarray, home: np.ndarray, starts: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -75,7 +75,7 @@ def simhash_groups(documents: DataFrame, max_bits: int = 3, shingle_words: int =
     marks = materialize(fingerprints(documents, shingle_words), "simhash-fp")
     nodes = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     # fingerprints are nodes; the smallest id of each is carried along
-    links = hamming_links(nodes.select(F.col("fp").alias("node"), "fp"), max_bits)
+    links = hamming_links(nodes.select("fp"), max_bits)
     groups = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     member = nodes.join(groups, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -27,7 +27,8 @@ THINNED = 512  # the pairs to be compared are the same
 #: Texts whose counters are held at once.
 SLICE = 1024
 _TURNS = (np.random.default_rng(11).integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-_PLANES = (np.random.default_rng(12).integers(0, 2, (COUNTERS, 64)) * 2 - 1).astype(np.float32)
+#: As many counters on either side of each plane: bits lean to no side as texts grow longer.
+_PLANES = np.random.default_rng(12).permuted(np.repeat(np.float32([1, -1])[:, None], COUNTERS // 2, axis=0).repeat(64, axis=1), axis=0)
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -108,8 +109,10 @@ def candidate_groups(items: DataFrame, max_bits: int, max_far: int) -> DataFrame
             yield _told(np.repeat(np.arange(len(starts)), size)[keep], band[keep], h[keep])
 
     groups = shared.mapInArrow(met, "root long, band int, h long")
-    words = materialize(items.select("fp").distinct(), "candidate-words")
-    near = materialize(hamming_groups(words.select(F.col("fp").alias("node"), "fp"), max_bits), "candidate-near")
+    words = materialize(items.groupBy("fp").agg((F.min("h") < F.max("h")).alias("several")), "candidate-words")
+    near = hamming_groups(words.select("fp"), max_bits)
+    # items of one and the same fingerprint are a group of their own
+    near = materialize(near.unionByName(words.where("several").select(F.xxhash64("fp").alias("root"), F.col("fp").alias("node"))), "candidate-near")
     some = split_by_key(items.select("fp", "h"), near, "node", "fp")[0].distinct()
     near = near.join(some, F.col("node") == F.col("fp")).select("root", F.lit(SIMHASH).alias("band"), "h")
     return groups.unionByName(near).groupBy("root", "h").agg(F.min("band").alias("band"))
