@@ -188,3 +188,13 @@ def test_one_changed_letter_is_found(spark):
     docs = spark.createDataFrame([(1, "\n".join(lines), "k", 1), (2, "\n".join(changed), "k", 1)], SCHEMA)
     got = {r.doc_id: r.n_kept for r in ld.op2_line_dedup(docs).collect()}
     assert got[1] == 100 and got[2] <= 1
+
+
+def test_items_of_one_fingerprint_meet(spark):
+    """Two items that share a fingerprint and no root are compared; planes part the counters evenly."""
+    items = spark.createDataFrame([(1, 77, [10]), (2, 77, [11]), (3, -77, [12]), (3, -77, [12])], "h long, fp long, roots array<long>")
+    groups: dict[int, set[int]] = {}
+    for r in similar.candidate_groups(items, 3, 15).collect():
+        groups.setdefault(r["root"], set()).add(r["h"])
+    assert [g for g in groups.values() if len(g) > 1] == [{1, 2}]
+    assert not similar._PLANES.sum(axis=0).any()
