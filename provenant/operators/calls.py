@@ -2,6 +2,10 @@
 
 nodes(node_id, module, function, file, ord), calls(caller, callee) distinct,
 imports(module, import). A qualified name is module.function.
+
+Spark takes the ends and names derived here for as small as the columns that
+they come from, and would broadcast, through the driver, tables that outgrow
+it with the graph; so all joins are merged.
 """
 
 from __future__ import annotations
@@ -10,12 +14,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenant.functions import text as T
+from provenant.operators.stored import Stored
 
 
 def qualified(module: Column, function: Column) -> Column:
     return F.when(F.coalesce(module, F.lit("")) == "", function).otherwise(F.concat(module, F.lit("."), function))
 
 
+def _merge(df: DataFrame) -> DataFrame:
+    return df.hint("merge")
+
+
+def _pairs(calls: DataFrame) -> DataFrame:
+    return calls.select("caller", "callee").distinct()
+
+
 def functions_of(nodes: DataFrame) -> DataFrame:
     """qname, tail, plain, bare, ext, n_nodes of each instrumented function; ext is its first node's."""
     q = nodes.withColumn("qname", qualified(F.col("module"), F.col("function"))).withColumn("bare", T.bare_name(F.col("function")))
@@ -32,13 +45,13 @@ def caller_modules(callers: DataFrame, nodes: DataFrame) -> DataFrame:
     names = callers.select("caller").distinct()
     parts = F.split("caller", r"\.")
     prefixes = names.select("caller", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))).alias("module"))
-    best = prefixes.join(known, "module").groupBy("caller").agg(F.max_by("module", F.length("module")).alias("known"))
+    best = prefixes.join(_merge(known), "module").groupBy("caller").agg(F.max_by("module", F.length("module")).alias("known"))
     before = F.regexp_extract("caller", r"(?s)^(.*)\.[^.]*$", 1)
-    return names.join(best, "caller", "left").select("caller", F.coalesce("known", before).alias("caller_module"))
+    return names.join(_merge(best), "caller", "left").select("caller", F.coalesce("known", before).alias("caller_module"))
 
 
-def _with_names(calls: DataFrame, nodes: DataFrame) -> DataFrame:
-    return calls.select("caller", "callee").distinct().join(caller_modules(calls, nodes), "caller")
+def _with_names(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    return pairs.join(_merge(caller_modules(pairs, nodes)), "caller")
 
 
 def _ends(functions: DataFrame) -> DataFrame:
@@ -52,16 +65,24 @@ def _ends(functions: DataFrame) -> DataFrame:
 
 def local_targets(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """caller, callee, target in the caller's own module."""
-    rows = _with_names(calls, nodes).where("caller_module <> ''")
-    hit = rows.join(_ends(functions_of(nodes)), (F.col("caller_module") == F.col("head")) & (F.col("callee") == F.col("end")))
+    return _local(_pairs(calls), nodes)
+
+
+def _local(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    rows = _with_names(pairs, nodes).where("caller_module <> ''")
+    hit = rows.join(_merge(_ends(functions_of(nodes))), (F.col("caller_module") == F.col("head")) & (F.col("callee") == F.col("end")))
     return hit.select("caller", "callee", F.col("qname").alias("target")).distinct()
 
 
 def imported_targets(calls: DataFrame, nodes: DataFrame, imports: DataFrame) -> DataFrame:
     """caller, callee, target in a module that the caller's module imports."""
-    rows = _with_names(calls, nodes).where("caller_module <> ''")
+    return _imported(_pairs(calls), nodes, imports)
+
+
+def _imported(pairs: DataFrame, nodes: DataFrame, imports: DataFrame) -> DataFrame:
+    rows = _with_names(pairs, nodes).where("caller_module <> ''")
     there = imports.select(F.col("module").alias("caller_module"), T.resolved_import(F.col("module"), F.col("import")).alias("from_module")).distinct()
-    hit = rows.join(there, "caller_module").join(_ends(functions_of(nodes)), (F.col("from_module") == F.col("head")) & (F.col("callee") == F.col("end")))
+    hit = rows.join(_merge(there), "caller_module").join(_merge(_ends(functions_of(nodes))), (F.col("from_module") == F.col("head")) & (F.col("callee") == F.col("end")))
     return hit.select("caller", "callee", F.col("qname").alias("target")).distinct()
 
 
@@ -71,12 +92,21 @@ def global_candidates(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     Counted are nodes, so a function with two log sites is as ambiguous as two
     functions. A dotted callee is looked up by its last part if need be.
     """
+    return _global(_pairs(calls), nodes)
+
+
+def _global(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    return pairs.join(_merge(_by_name(pairs, nodes)), "callee", "left").select("caller", "callee", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "target")
+
+
+def _by_name(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """callee, n, target of each callee; who calls it does not matter here."""
     bare = functions_of(nodes).groupBy("bare").agg(F.sum("n_nodes").alias("n"), F.min("qname").alias("target"))
-    rows = calls.select("caller", "callee").distinct().withColumn("end", T.bare_name(F.col("callee")))
+    rows = pairs.select("callee").distinct().withColumn("end", T.bare_name(F.col("callee")))
     whole = bare.select(F.col("bare").alias("callee"), F.col("n").alias("n1"), F.col("target").alias("t1"))
     last = bare.select(F.col("bare").alias("end"), F.col("n").alias("n2"), F.col("target").alias("t2"))
-    out = rows.join(whole, "callee", "left").join(last, "end", "left")
-    return out.select("caller", "callee", F.coalesce("n1", "n2", F.lit(0)).cast("long").alias("n"), F.coalesce("t1", "t2").alias("target"))
+    out = rows.join(_merge(whole), "callee", "left").join(_merge(last), "end", "left")
+    return out.select("callee", F.coalesce("n1", "n2", F.lit(0)).cast("long").alias("n"), F.coalesce("t1", "t2").alias("target"))
 
 
 def unique_targets(calls: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -85,11 +115,15 @@ def unique_targets(calls: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def cross_language_targets(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """caller, callee, target of the same plain name in a file of another kind; the caller's kind is its first node's."""
+    return _cross_language(_pairs(calls), nodes)
+
+
+def _cross_language(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     kinds = nodes.select(F.concat("module", F.lit("."), "function").alias("caller"), "file", "ord").union(nodes.select("function", "file", "ord"))
     kinds = kinds.groupBy("caller").agg(T.suffix_of(F.min_by("file", "ord")).alias("caller_ext"))
-    rows = calls.select("caller", "callee").distinct().join(kinds, "caller", "left").withColumn("plain", T.plain_name(F.col("callee")))
+    rows = pairs.join(_merge(kinds), "caller", "left").withColumn("plain", T.plain_name(F.col("callee")))
     there = functions_of(nodes).select("qname", "plain", "ext")
-    return rows.join(there, "plain").where("ext <> coalesce(caller_ext, '')").select("caller", "callee", F.col("qname").alias("target")).distinct()
+    return rows.join(_merge(there), "plain").where("ext <> coalesce(caller_ext, '')").select("caller", "callee", F.col("qname").alias("target")).distinct()
 
 
 def call_targets(calls: DataFrame, nodes: DataFrame, imports: DataFrame | None = None) -> DataFrame:
@@ -98,16 +132,23 @@ def call_targets(calls: DataFrame, nodes: DataFrame, imports: DataFrame | None =
     A name that is ambiguous in the graph ends at step 3 without a target.
     Builds pass no imports: they come later than the edges.
     """
-    all_calls = calls.select("caller", "callee").distinct()
-    local = local_targets(all_calls, nodes).withColumn("step", F.lit(1))
-    parts, left = [local], all_calls.join(local, ["caller", "callee"], "left_anti")
+    return _targets(_pairs(calls), nodes, imports)
+
+
+def _targets(pairs: DataFrame, nodes: DataFrame, imports: DataFrame | None) -> DataFrame:
+    local = _local(pairs, nodes).withColumn("step", F.lit(1))
+    # most names are ambiguous or nobody's: only calls that steps 3 and 4 may lead somewhere are carried there
+    plain = functions_of(nodes).select("plain").distinct()
+    names = _by_name(pairs, nodes).where("n <= 1").withColumn("plain", T.plain_name(F.col("callee"))).join(_merge(plain.withColumn("met", F.lit(True))), "plain", "left")
+    open_ = pairs.join(_merge(names.where("n = 1 or met").select("callee", "n", "target")), "callee").join(_merge(local), ["caller", "callee"], "left_anti")
+    parts = [local]
     if imports is not None:
-        near = imported_targets(left, nodes, imports).withColumn("step", F.lit(2))
+        left = pairs.join(_merge(local), ["caller", "callee"], "left_anti")
+        near = _imported(left, nodes, imports).withColumn("step", F.lit(2))
         parts.append(near)
-        left = left.join(near, ["caller", "callee"], "left_anti")
-    known = global_candidates(left, nodes)
-    parts.append(known.where("n = 1").select("caller", "callee", "target", F.lit(3).alias("step")))
-    parts.append(cross_language_targets(known.where("n = 0"), nodes).withColumn("step", F.lit(4)))
+        open_ = open_.join(_merge(near), ["caller", "callee"], "left_anti")
+    parts.append(open_.where("n = 1").select("caller", "callee", "target", F.lit(3).alias("step")))
+    parts.append(_cross_language(open_.where("n = 0").select("caller", "callee"), nodes).withColumn("step", F.lit(4)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -123,7 +164,7 @@ def caller_bridge(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     graph = nodes.select(qualified(F.col("module"), F.col("function")).alias("qname"), "module", T.bare_name(F.col("function")).alias("bare")).distinct()
     last = F.when(F.contains("caller", F.lit(".")), F.substring_index("caller", ".", -1)).otherwise(F.substring_index("caller", "/", -1))
     callers = calls.select("caller").distinct().withColumn("bare", last)
-    rows = graph.join(callers, "bare")
+    rows = graph.join(_merge(callers), "bare")
     head = F.expr("case when contains(caller, concat('.', bare)) then substring(caller, 1, length(caller) - length(bare) - 1) when contains(caller, '/') then regexp_extract(caller, '(?s)^(.*)/[^/]*$', 1) end")
     rows = rows.withColumn("head", F.replace(head, F.lit("/"), F.lit("."))).withColumn("mod", F.replace(F.coalesce("module", F.lit("")), F.lit("/"), F.lit(".")))
     near = (F.col("mod") != "") & (F.startswith("head", "mod") | F.endswith("head", "mod") | F.startswith("caller", "module"))
@@ -137,22 +178,33 @@ def call_edges(calls: DataFrame, nodes: DataFrame, imports: DataFrame | None = N
     known only by its class is bridged to the first of its graph functions.
     Parents leave out the caller itself by its own name, children by the
     graph's, so a recursive method is its own parent, not its own child.
+    The edges are written to the shared folder and read from there.
     """
-    targets = call_targets(calls, nodes, imports)
+    store, keep = Stored(nodes.sparkSession), Stored(nodes.sparkSession)
+    try:
+        return keep(_edges(calls, nodes, imports, store), "call-edges")
+    finally:
+        store.drop()
+
+
+def _edges(calls: DataFrame, nodes: DataFrame, imports: DataFrame | None, store: Stored) -> DataFrame:
+    calls = store(_pairs(calls), "call-pairs")
+    nodes = store(nodes.select("node_id", "module", "function", "file", "ord"), "call-nodes")
+    targets = store(_targets(calls, nodes, imports).select("caller", "target").distinct(), "call-targets")
     q = nodes.select("node_id", qualified(F.col("module"), F.col("function")).alias("qname"), "ord")
-    bridge = caller_bridge(calls, nodes)
+    bridge = store(caller_bridge(calls, nodes), "call-bridge")
     place = q.groupBy("qname").agg(F.min("ord").alias("place"))
-    first = bridge.join(place, "qname").groupBy("caller").agg(F.min_by("qname", "place").alias("bridged"))
-    up = targets.where("target <> caller").select("caller", "target").distinct()
+    first = bridge.join(_merge(place), "qname").groupBy("caller").agg(F.min_by("qname", "place").alias("bridged"))
+    up = targets.where("target <> caller")
     own = q.select("qname").distinct().withColumn("direct", F.col("qname")).withColumnRenamed("qname", "caller")
-    via = up.join(own, "caller", "left").join(first, "caller", "left").withColumn("from_q", F.coalesce("direct", "bridged"))
-    parents = via.join(q.select(F.col("qname").alias("from_q"), F.col("node_id").alias("parent")), "from_q", "left")
+    via = up.join(_merge(own), "caller", "left").join(_merge(first), "caller", "left").withColumn("from_q", F.coalesce("direct", "bridged"))
+    parents = via.join(_merge(q.select(F.col("qname").alias("from_q"), F.col("node_id").alias("parent"))), "from_q", "left")
     parents = parents.groupBy("target").agg(F.array_sort(F.collect_set("parent")).alias("call_parents"), F.array_sort(F.collect_set("caller")).alias("call_parent_names"))
     callers = bridge.union(q.select("qname", F.col("qname").alias("caller"))).distinct()
-    down = callers.join(targets.select("caller", "target").distinct(), "caller").where("target <> qname").select("qname", "target").distinct()
-    children = down.join(q.select(F.col("qname").alias("target"), F.col("node_id").alias("child")), "target")
+    down = callers.join(_merge(targets), "caller").where("target <> qname").select("qname", "target").distinct()
+    children = down.join(_merge(q.select(F.col("qname").alias("target"), F.col("node_id").alias("child"))), "target")
     children = children.groupBy("qname").agg(F.array_sort(F.collect_set("child")).alias("call_children"), F.array_sort(F.collect_set("target")).alias("call_child_names"))
     empty = F.expr("cast(array() as array<string>)")
-    out = q.join(parents, F.col("qname") == F.col("target"), "left").join(children, "qname", "left")
+    out = q.join(_merge(parents), F.col("qname") == F.col("target"), "left").join(_merge(children), "qname", "left")
     lists = ("call_parents", "call_children", "call_parent_names", "call_child_names")
     return out.select("node_id", *[F.coalesce(c, empty).alias(c) for c in lists])

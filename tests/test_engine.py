@@ -13,7 +13,8 @@ from provenant.api import Project
 from provenant.functions import constants as C
 from provenant.functions import text as T
 from provenant.operators import enrich, resolve
-from provenant.plans import corpus
+from provenant.operators.stored import Stored
+from provenant.plans import corpus, queries
 from provenant.sinks import definitions, documents
 from provenant.streaming import enrich as streaming
 
@@ -53,6 +54,27 @@ def test_edges_of_source(project):
     assert "src/cart.load" in got[("load", "case a")].call_child_names or got[("load", "case a")].call_child_names == []
 
 
+@pytest.fixture
+def plans(spark, monkeypatch):
+    """Plans of all tables written or returned by a query of the call graph, with Spark's own threshold of broadcasts."""
+    seen, write = [], Stored.__call__
+    monkeypatch.setattr(Stored, "__call__", lambda self, df, tag: seen.append(df) or write(self, df, tag))
+
+    def of(name):
+        df = queries.queries()[name](spark, "/root/testdata/sf0.001")
+        return [x._jdf.queryExecution().executedPlan().toString() for x in (*seen, df)]
+
+    return of
+
+
+def test_call_edges_are_merged_and_computed_once(plans):
+    found = plans("call_edges")
+    assert not any("Broadcast" in p for p in found)
+    # line items are read for one table, and the result is read from a table
+    assert sum(p.count("l_partkey") > 0 for p in found) == 1
+    assert "Join" not in found[-1]
+
+
 def test_templates_match_as_python_would(spark):
     texts = ["a {} b", "100% done", "%s", "x.*?y", "plain", "{a} {b!r}", "50%% \\E q", "é {}\nend", "(a|b) %d"]
     made = ["a 1 b", "a b", "100X", "100% done", "anything\nmore", "x--y", "plain", "50% \\E q", "é 1\nend", "(a|b) 7"]
