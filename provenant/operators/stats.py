@@ -64,7 +64,8 @@ def models_listing(models: DataFrame) -> DataFrame:
 def viz_links(nodes: DataFrame) -> DataFrame:
     """source, target of call edges whose ends are both nodes."""
     edges = nodes.select(F.col("node_id").alias("source"), F.explode("call_children").alias("target"))
-    return edges.join(nodes.select(F.col("node_id").alias("target")).distinct(), "target", "left_semi").select("source", "target")
+    known = nodes.select(F.col("node_id").alias("target")).distinct()
+    return edges.join(known.hint("merge"), "target", "left_semi").select("source", "target")
 
 
 def node_degree(nodes: DataFrame) -> DataFrame:

@@ -185,3 +185,7 @@ def test_command_line(spark, tree, tmp_path, capsys, monkeypatch):
     assert go("stats", "--graph", "none.json") == 2 and go("definition", "policy") == 0
     assert cli.scaffold(str(tmp_path), False) == [cli.IGNORE_FILE, cli.SETTINGS_FILE] and cli.scaffold(str(tmp_path), False) == []
     assert len(cli.scaffold(str(tmp_path), True)) == 2
+
+
+def test_viz_links_hold_no_table_in_the_driver(plans):
+    assert not any("Broadcast" in p for p in plans("viz_links"))
