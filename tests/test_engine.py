@@ -189,3 +189,8 @@ def test_command_line(spark, tree, tmp_path, capsys, monkeypatch):
 
 def test_viz_links_hold_no_table_in_the_driver(plans):
     assert not any("Broadcast" in p for p in plans("viz_links"))
+
+
+def test_edge_totals_read_written_edges(plans):
+    found = plans("edge_totals")
+    assert not any("Broadcast" in p for p in found) and "Join" not in found[-1] and "call-edges" in found[-1]
