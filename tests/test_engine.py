@@ -194,3 +194,8 @@ def test_viz_links_hold_no_table_in_the_driver(plans):
 def test_edge_totals_read_written_edges(plans):
     found = plans("edge_totals")
     assert not any("Broadcast" in p for p in found) and "Join" not in found[-1] and "call-edges" in found[-1]
+
+
+def test_node_degree_reads_written_edges(plans):
+    found = plans("node_degree")
+    assert not any("Broadcast" in p or "Exchange" in p for p in found[-1:]) and not any("Broadcast" in p for p in found)
