@@ -187,7 +187,21 @@ def call_edges(calls: DataFrame, nodes: DataFrame, imports: DataFrame | None = N
         store.drop()
 
 
-def _edges(calls: DataFrame, nodes: DataFrame, imports: DataFrame | None, store: Stored) -> DataFrame:
+def edge_counts(calls: DataFrame, nodes: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """node_id with n_parents, n_children: how many call_parents and call_children call_edges lists, without the lists.
+
+    An id belongs to one qualified name, so ids are counted by name, once. The
+    counts are written to the shared folder and read from there.
+    """
+    store, keep = Stored(nodes.sparkSession), Stored(nodes.sparkSession)
+    try:
+        return keep(_counts(calls, nodes, imports, store), "call-edges-counted")
+    finally:
+        store.drop()
+
+
+def _sides(calls: DataFrame, nodes: DataFrame, imports: DataFrame | None, store: Stored) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes by qname; target, caller, from_q: who calls a function, and its name in the graph; qname, target: whom it calls."""
     calls = store(_pairs(calls), "call-pairs")
     nodes = store(nodes.select("node_id", "module", "function", "file", "ord"), "call-nodes")
     targets = store(_targets(calls, nodes, imports).select("caller", "target").distinct(), "call-targets")
@@ -198,13 +212,29 @@ def _edges(calls: DataFrame, nodes: DataFrame, imports: DataFrame | None, store:
     up = targets.where("target <> caller")
     own = q.select("qname").distinct().withColumn("direct", F.col("qname")).withColumnRenamed("qname", "caller")
     via = up.join(_merge(own), "caller", "left").join(_merge(first), "caller", "left").withColumn("from_q", F.coalesce("direct", "bridged"))
-    parents = via.join(_merge(q.select(F.col("qname").alias("from_q"), F.col("node_id").alias("parent"))), "from_q", "left")
-    parents = parents.groupBy("target").agg(F.array_sort(F.collect_set("parent")).alias("call_parents"), F.array_sort(F.collect_set("caller")).alias("call_parent_names"))
     callers = bridge.union(q.select("qname", F.col("qname").alias("caller"))).distinct()
     down = callers.join(_merge(targets), "caller").where("target <> qname").select("qname", "target").distinct()
+    return q, via, down
+
+
+def _edges(calls: DataFrame, nodes: DataFrame, imports: DataFrame | None, store: Stored) -> DataFrame:
+    q, via, down = _sides(calls, nodes, imports, store)
+    parents = via.join(_merge(q.select(F.col("qname").alias("from_q"), F.col("node_id").alias("parent"))), "from_q", "left")
+    parents = parents.groupBy("target").agg(F.array_sort(F.collect_set("parent")).alias("call_parents"), F.array_sort(F.collect_set("caller")).alias("call_parent_names"))
     children = down.join(_merge(q.select(F.col("qname").alias("target"), F.col("node_id").alias("child"))), "target")
     children = children.groupBy("qname").agg(F.array_sort(F.collect_set("child")).alias("call_children"), F.array_sort(F.collect_set("target")).alias("call_child_names"))
     empty = F.expr("cast(array() as array<string>)")
     out = q.join(_merge(parents), F.col("qname") == F.col("target"), "left").join(_merge(children), "qname", "left")
     lists = ("call_parents", "call_children", "call_parent_names", "call_child_names")
     return out.select("node_id", *[F.coalesce(c, empty).alias(c) for c in lists])
+
+
+def _counts(calls: DataFrame, nodes: DataFrame, imports: DataFrame | None, store: Stored) -> DataFrame:
+    q, via, down = _sides(calls, nodes, imports, store)
+    ids = store(q.select("qname", "node_id").distinct().groupBy("qname").agg(F.count("node_id").alias("n")), "call-ids")
+    # a caller known by its class and the graph's own name for it are one parent
+    parents = via.where("from_q is not null").select("target", "from_q").distinct().join(_merge(ids.withColumnRenamed("qname", "from_q")), "from_q")
+    parents = parents.groupBy("target").agg(F.sum("n").alias("n_parents"))
+    children = down.join(_merge(ids.withColumnRenamed("qname", "target")), "target").groupBy("qname").agg(F.sum("n").alias("n_children"))
+    out = q.join(_merge(parents), F.col("qname") == F.col("target"), "left").join(_merge(children), "qname", "left")
+    return out.select("node_id", *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in ("n_parents", "n_children")])

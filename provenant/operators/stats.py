@@ -23,9 +23,16 @@ def level_histogram(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "level")
 
 
+def _ends(nodes: DataFrame) -> Column:
+    """How many parents and children a node has, counted or listed."""
+    if {"n_parents", "n_children"} <= set(nodes.columns):
+        return F.col("n_parents") + F.col("n_children")
+    return F.size("call_parents") + F.size("call_children")
+
+
 def edge_totals(nodes: DataFrame) -> DataFrame:
     """half_edges: parents and children halved; all_edges: not halved; edge_coverage_pct: nodes with any edge."""
-    ends = F.size("call_parents") + F.size("call_children")
+    ends = _ends(nodes)
     total = F.coalesce(F.sum(ends), F.lit(0)).cast("long")
     share = F.round(F.lit(100.0) * F.sum(F.when(ends > 0, 1).otherwise(0)) / F.greatest(F.count("*"), F.lit(1)), 2)
     return nodes.groupBy().agg(F.floor(total / 2).cast("long").alias("half_edges"), total.alias("all_edges"), share.alias("edge_coverage_pct"))
@@ -69,7 +76,7 @@ def viz_links(nodes: DataFrame) -> DataFrame:
 
 
 def node_degree(nodes: DataFrame) -> DataFrame:
-    degree = F.size("call_parents") + F.size("call_children")
+    degree = _ends(nodes)
     return nodes.select("node_id", degree.alias("degree"), (F.lit(8.0) + F.lit(1.5) * degree).alias("radius"))
 
 

@@ -12,7 +12,7 @@ from provenant import cli
 from provenant.api import Project
 from provenant.functions import constants as C
 from provenant.functions import text as T
-from provenant.operators import enrich, resolve
+from provenant.operators import calls, enrich, resolve
 from provenant.operators.stored import Stored
 from provenant.plans import corpus, queries
 from provenant.sinks import definitions, documents
@@ -199,3 +199,21 @@ def test_edge_totals_read_written_edges(plans):
 def test_node_degree_reads_written_edges(plans):
     found = plans("node_degree")
     assert not any("Broadcast" in p or "Exchange" in p for p in found[-1:]) and not any("Broadcast" in p for p in found)
+
+
+@pytest.mark.parametrize("name", ["edge_totals"])
+def test_edges_that_are_counted_are_not_listed(plans, name):
+    assert not any("collect_set" in p for p in plans(name))
+
+
+def test_edge_counts_equal_the_lists(spark):
+    names = [("a.m", "f"), ("a.m", "f"), ("a.m", "g"), ("a.m", "S.h"), ("a.n", "h"), ("a.n", "doIt"), ("", "top"), (None, "f2"), ("a.m", None)]
+    rows = [(f"n{k}", m, f, f"x{'.go' if k % 2 else '.py'}", k) for k, (m, f) in enumerate(names)]
+    # a node that is told twice, callers known by a class or not at all, calls of oneself
+    nodes = spark.createDataFrame([*rows, rows[0]], "node_id string, module string, function string, file string, ord long")
+    callers = ["a.m.f", "a.m.Svc.f", "a.m.g", "a.m.S.h", "a.n.h", "a.n.K.h", "a.n.doIt", "top", "nobody.x", "f2"]
+    pairs = spark.createDataFrame([(c, t) for c in callers for t in ("f", "g", "h", "S.h", "do_it", "top", "f2", "none")] + [(None, "f"), ("a.m.f", None)], "caller string, callee string")
+    key = lambda r: tuple(r)
+    want = calls.call_edges(pairs, nodes).select("node_id", F.size("call_parents"), F.size("call_children"))
+    got = calls.edge_counts(pairs, nodes).select("node_id", "n_parents", "n_children")
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and any(r.n_parents > 2 for r in got.collect())
