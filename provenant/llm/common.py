@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextvars import ContextVar
@@ -41,6 +43,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Seconds from one collection of the driver's garbage to the next.
+TIDY_S = 10.0
+_tidied = [0.0]
+
+
+def tidied(spark: SparkSession) -> None:
+    """Have the driver's garbage collected, unless that was lately done.
+
+    Broadcasts and shuffles of finished jobs are given back only then. Many
+    small jobs leave little each, so by itself that comes late, and the heap
+    has grown by then.
+    """
+    if time.monotonic() - _tidied[0] < TIDY_S:
+        return
+    gc.collect()  # frames that Python no longer uses keep their plans alive
+    spark._jvm.System.gc()
+    _tidied[0] = time.monotonic()
+
+
 #: Paths of the tables written inside the finished() that is under way in this thread.
 _written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
@@ -56,6 +77,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     if (paths := _written.get()) is not None:
         paths.append(path)
+    tidied(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

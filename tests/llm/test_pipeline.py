@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from provenant.llm import quality, simhash
+from provenant.llm import common, quality, simhash
 from tests.llm.test_line_dedup import brute
 from tests.llm.test_simhash import plain_components
 
@@ -131,3 +131,14 @@ def test_near_copies_with_edited_words_go(spark):
     docs = [(i, " ".join(w)) for i, w in enumerate(base + edited)] + [(100, " ".join(base[0][:50])), (101, ""), (102, " "), (None, "w")]
     got = corpus_pipeline.near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == [*range(40), 100, 101] and len(got) == 43
+
+
+def test_written_tables_free_what_the_driver_held(spark, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    monkeypatch.setattr(common, "_tidied", [float("-inf")])
+    before = whole()
+    common.materialize(spark.range(3), "tidy")
+    once = whole()
+    common.materialize(spark.range(3), "tidy")
+    assert before < once == whole()  # and not again at once
