@@ -59,14 +59,14 @@ def half_roots(line: str) -> list[int]:
 
 
 def line_table(documents: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, key, line_no, first, h, fp, roots of every line with words of documents(doc_id, key, text).
+    """doc_id, key, line_no, first, h, fp, size (characters), roots of every line with words of documents(doc_id, key, text).
 
     key stands for the row's id and text, first tells a row's first line.
     Lines that can be similar to others have a fingerprint and roots; one that
     the task has lately seen is not marked again.
     """
     least = least_length(similarity)
-    names = ["doc_id", "key", "line_no", "first", "h", "fp", "roots"]
+    names = ["doc_id", "key", "line_no", "first", "h", "fp", "size", "roots"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -79,10 +79,13 @@ def line_table(documents: DataFrame, similarity: float) -> DataFrame:
                 roots = [[*b, *half_roots(x.decode())] if len(x) < HALVED else b for b, x in zip(bands.tolist(), lines)]
                 at, place = np.flatnonzero(marked), pa.array(row, pa.int64())
                 words, count = np.zeros(len(h), dtype=np.uint64), np.zeros(len(h) + 1, dtype=np.int32)
+                long = np.zeros(len(h), dtype=np.int32)
                 words[at], count[at + 1] = fp, [len(x) for x in roots]
                 flat = np.array([x for r in roots for x in r], dtype=np.uint64).view(np.int64)
                 hashes = pa.array(np.array(h, dtype=np.uint64).view(np.int64))
-                marks = pa.array(words.view(np.int64), mask=~np.array(marked, dtype=bool)), pa.ListArray.from_arrays(np.cumsum(count, dtype=np.int32), pa.array(flat))
+                long[at] = [len(x) if x.isascii() else len(x.decode()) for x in lines]
+                none = ~np.array(marked, dtype=bool)
+                marks = pa.array(words.view(np.int64), mask=none), pa.array(long, mask=none), pa.ListArray.from_arrays(np.cumsum(count, dtype=np.int32), pa.array(flat))
                 return pa.RecordBatch.from_arrays([ids.take(place), keys.take(place), pa.array(number, pa.int32()), pa.array(first, pa.bool_()), hashes, *marks], names=names)
 
             for k in range(batch.num_rows):
@@ -110,7 +113,7 @@ def line_table(documents: DataFrame, similarity: float) -> DataFrame:
             yield made()
 
     rows = documents.select("doc_id", "key", "text")
-    return rows.mapInArrow(of, "doc_id long, key long, line_no int, first boolean, h long, fp long, roots array<long>")
+    return rows.mapInArrow(of, "doc_id long, key long, line_no int, first boolean, h long, fp long, size int, roots array<long>")
 
 
 def similar_lines(similarity: float):
@@ -211,10 +214,10 @@ def dropped_lines(rows: DataFrame, similarity: float, max_bits: int, max_far: in
     lines = materialize(line_table(rows, similarity), "lines")
     place = F.struct("doc_id", "key", "line_no")
     nodes = materialize(lines.groupBy("h").agg(F.min(place).alias("place"), F.count("*").alias("n")), "line-nodes")
-    met = materialize(candidate_groups(lines.where("fp is not null").select("h", "fp", "roots"), max_bits, max_far), "line-met")
+    met = materialize(candidate_groups(lines.where("fp is not null").select("h", "fp", "size", "roots"), max_bits, max_far, similarity), "line-met")
     asked = nodes.join(met.select("h").distinct(), "h").select("h", "place.key", "place.line_no")
-    found = materialize(_fetched(rows, asked), "line-found")
-    links = materialize(compared(met.join(found, "h"), "line", similar_lines(similarity), max_bits, max_far, least=20_000), "line-links")
+    found = _fetched(rows, asked)
+    links = materialize(compared(met, "line", similar_lines(similarity), max_bits, max_far, least=20_000, items=found), "line-links")
     groups = connected_components(links).select(F.col("node").alias("h"), F.col("component").alias("group"))
     # of a group, the first occurrence stays
     known = nodes.join(groups, "h", "left").where("n > 1 or group is not null").select("h", F.coalesce("group", "h").alias("group"), "place")

@@ -169,7 +169,7 @@ def simhash_dedup(documents: DataFrame, shingle_words: int = 5, similarity: floa
         asked = asked.join(marks.select("key", "fp", "roots").dropDuplicates(["key"]), "key")
         texts = split_by_key(rows.select("key", "text"), asked, "key", "key")[0].join(asked, "key")
         sets = materialize(_sets(texts, shingle_words), "copy-sets")
-        links = materialize(compared(met.join(sets, "h"), "shingles", similar_sets(similarity), max_bits, max_far, capacity=512, least=500), "copy-links")
+        links = materialize(compared(met, "shingles", similar_sets(similarity), max_bits, max_far, capacity=512, least=500, items=sets), "copy-links")
         groups = connected_components(links).select(F.col("node").alias("h"), F.col("component").alias("root"))
         known = nodes.join(groups, "h", "left").where("n > 1 or root is not null").select("h", F.coalesce("root", "h").alias("root"), "place")
         known = materialize(known, "copy-groups")

@@ -24,6 +24,8 @@ COUNTERS = 512
 SIMHASH = 99
 #: Groups of more items are not thinned by their fingerprints.
 THINNED = 512  # the pairs to be compared are the same
+#: Sizes are told up to LARGEST; bands are below SIZED.
+LARGEST, SIZED = (1 << 24) - 1, 128
 #: Texts whose counters are held at once.
 SLICE = 1024
 _TURNS = (np.random.default_rng(11).integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -54,58 +56,75 @@ def gram_marks(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     gram = np.zeros(len(data), dtype=np.uint32)
     full = len(data) - GRAM + 1
     for k in range(GRAM):
-        gram[:full] = gram[:full] * np.uint32(0x01000193) + data[k : full + k]
+        gram[:full] *= np.uint32(0x01000193)
+        gram[:full] += data[k : full + k]
     for shift, turn in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
-        gram = (gram ^ (gram >> np.uint32(shift))) * np.uint32(turn)
-    # the last GRAM - 1 places of a text run into the next one: they are odd runs, left out
-    edges = np.stack([end - size, end - GRAM + 1], axis=1).reshape(-1)
-    roots = np.zeros((len(lines), BANDS), dtype=np.uint64)
+        gram ^= gram >> np.uint32(shift)
+        gram *= np.uint32(turn)
+    # the last GRAM - 1 places of a text run into the next one: they repeat its last gram, which changes no minimum
+    tails = end[:, None] - np.arange(1, GRAM)
+    gram[tails] = gram[end - GRAM][:, None]
+    roots, turned = np.zeros((len(lines), BANDS), dtype=np.uint64), np.empty_like(gram)
     for k, turn in enumerate(_TURNS):
-        least = np.minimum.reduceat(gram * turn, edges)[::2]
+        least = np.minimum.reduceat(np.multiply(gram, turn, out=turned), end - size)
         roots[:, k // ROWS] = mixed(roots[:, k // ROWS] ^ least, k)
     fp = np.empty(len(lines), dtype=np.uint64)
     counter = (gram >> np.uint32(23)).astype(np.int64)
+    # and are counted in the first counter, from which they are taken again
+    counter[tails] = 0
     for first in range(0, len(lines), SLICE):
         n = size[first : first + SLICE]
         a, b = int(end[first] - size[first]), int(end[first + len(n) - 1])
         row = np.repeat(np.arange(len(n), dtype=np.int64) * COUNTERS, n)
-        # odd places are counted in a row of their own
-        tails = (end[first : first + SLICE, None] - a - np.arange(1, GRAM)).reshape(-1)
-        row[tails] = len(n) * COUNTERS
-        counts = np.bincount(row + counter[a:b], minlength=(len(n) + 1) * COUNTERS)[: len(n) * COUNTERS]
+        row += counter[a:b]
+        counts = np.bincount(row, minlength=len(n) * COUNTERS)
+        counts[::COUNTERS] -= GRAM - 1
         bits = counts.reshape(len(n), COUNTERS).astype(np.float32) @ _PLANES > 0
         fp[first : first + SLICE] = np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
     return fp, roots
 
 
-def candidate_groups(items: DataFrame, max_bits: int, max_far: int) -> DataFrame:
+def candidate_groups(items: DataFrame, max_bits: int, max_far: int, least: float | None = None) -> DataFrame:
     """root, band, h: groups of items(h, fp, roots) that hold every pair to be compared.
 
     A pair is to be compared when its fingerprints differ in at most max_bits
     bits (pigeonhole blocks and the trie self-join find those), or when it
     shares a root and its fingerprints differ in at most max_far bits. band is
     the place of that root among an item's roots, or SIMHASH. A group of the
-    same items is told once. h may repeat; an empty table gives none.
+    same items is told once. h may repeat; an empty table gives none. With
+    `least`, items have a size, and one that shares roots only with items that
+    are smaller than `least` of it, or the other way about, need not be told.
     """
-    shared = items.select("h", "fp", F.posexplode("roots").alias("band", "root")).repartition("root").sortWithinPartitions("root", "h")
+    size = F.least("size", F.lit(LARGEST)) if least else F.lit(0)
+    shared = items.select("h", "fp", size.alias("size"), F.posexplode("roots").alias("band", "root"))
+    # band and size ride in one number; one long is sorted by its digits, the order within a root is made below
+    shared = shared.select("h", "fp", "root", (F.col("band") + F.col("size") * SIZED).cast("int").alias("band")).repartition("root").sortWithinPartitions("root")
+
+    def near(word: np.ndarray, long: np.ndarray, word2: np.ndarray, long2: np.ndarray) -> np.ndarray:
+        out = np.bitwise_count(word ^ word2) <= max_far
+        return out & (np.minimum(long, long2) >= least * np.maximum(long, long2) - 1e-6) if least else out
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["root"]):
             root, h, band = (table.column(x).to_numpy() for x in ("root", "h", "band"))
             word = table.column("fp").to_numpy().view(np.uint64)
+            alone = np.concatenate([[True], root[1:] != root[:-1], [True]])
+            some = np.flatnonzero(~(alone[1:] & alone[:-1]))
+            some = some[np.lexsort((h[some], root[some]))]
+            root, h, band, word = root[some], h[some], band[some], word[some]
             once = np.ones(len(h), dtype=bool)
             once[1:] = (root[1:] != root[:-1]) | (h[1:] != h[:-1])
             root, h, band, word = root[once], h[once], band[once], word[once]
-            starts = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
+            long, band = band // SIZED, band % SIZED
+            starts = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]])) if len(h) else np.empty(0, dtype=np.int64)
             size = np.diff(np.append(starts, len(h)))
             keep = np.repeat(size > THINNED, size)
             two = starts[size == 2]
-            close = two[np.bitwise_count(word[two] ^ word[two + 1]) <= max_far]
+            close = two[near(word[two], long[two], word[two + 1], long[two + 1])]
             keep[close] = keep[close + 1] = True
             some = (size > 2) & (size <= THINNED)
             for a, b in zip(starts[some].tolist(), (starts + size)[some].tolist()):
-                far = np.bitwise_count(word[a:b, None] ^ word[None, a:b])
-                keep[a:b] = (far <= max_far).sum(axis=1) > 1
+                keep[a:b] = near(word[a:b, None], long[a:b, None], word[None, a:b], long[None, a:b]).sum(axis=1) > 1
             yield _told(np.repeat(np.arange(len(starts)), size)[keep], band[keep], h[keep])
 
     groups = shared.mapInArrow(met, "root long, band int, h long")
@@ -141,9 +160,12 @@ def _told(group: np.ndarray, band: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(root.view(np.int64)), pa.array(band), pa.array(h)], names=["root", "band", "h"])
 
 
-def compared(rows: DataFrame, value: str, compare: Callable[[list, np.ndarray, Callable], np.ndarray], max_bits: int, max_far: int, capacity: int = 1024, least: int = 2000) -> DataFrame:
+def compared(rows: DataFrame, value: str, compare: Callable[[list, np.ndarray, Callable], np.ndarray], max_bits: int, max_far: int, capacity: int = 1024, least: int = 2000, items: DataFrame | None = None) -> DataFrame:
     """src, dst links between the h of rows(root, band, h, fp, roots, value), smaller values first.
 
+    With items(h, fp, roots, value), one of each h, rows need only have root,
+    band and h: values then travel to their h and to their blocks, and no further.
+
     compare(values, starts of groups, fit) gives each value the smallest index
     linked with it in its group; fit tells which index pairs are its to
     measure. Groups of more than `capacity` rows are cut into chunks, and each
@@ -153,7 +175,9 @@ def compared(rows: DataFrame, value: str, compare: Callable[[list, np.ndarray, C
     counts = rows.groupBy("root").agg(F.ceil(F.count("*") / capacity).cast("int").alias("m"))
     rows = rows.join(counts, "root").withColumn("chunk", F.pmod(F.xxhash64("h"), F.col("m")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda k: F.struct(F.least(k, "chunk").alias("i"), F.greatest(k, "chunk").alias("j")))
-    rows = rows.withColumn("b", F.explode(others)).select(F.xxhash64("root", "b.i", "b.j").alias("block"), "band", "h", "fp", "roots", value)
+    rows = rows.withColumn("b", F.explode(others)).select(F.xxhash64("root", "b.i", "b.j").alias("block"), "band", "h", *(("fp", "roots", value) if items is None else ()))
+    if items is not None:
+        rows = rows.join(items.select("h", "fp", "roots", value), "h")
     rows = rows.repartition("block").sortWithinPartitions("block", F.length(value), "h")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

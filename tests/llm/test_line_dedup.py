@@ -198,3 +198,42 @@ def test_items_of_one_fingerprint_meet(spark):
         groups.setdefault(r["root"], set()).add(r["h"])
     assert [g for g in groups.values() if len(g) > 1] == [{1, 2}]
     assert not similar._PLANES.sum(axis=0).any()
+
+
+def exchanged(plan, name):
+    """How often a column is dealt out anew in a physical plan."""
+    here = "Exchange" in plan.nodeName() and f"{name}#" in plan.output().mkString(" ")
+    below = plan.children()
+    return here + sum(exchanged(below.apply(k), name) for k in range(below.size()))
+
+
+def test_lines_travel_to_their_key_and_their_blocks_only(spark):
+    """Candidates are dealt into blocks without their lines; the links are those of rows that hold them."""
+    rng = random.Random(4)
+    lines = ["".join(rng.choices("abcdefgh ", k=60)) for _ in range(12)]
+    lines += [x[:k] + "z" + x[k + 1 :] for k, x in enumerate(lines)]
+    items = spark.createDataFrame([(i, 0, [i], x) for i, x in enumerate(lines)], "h long, fp long, roots array<long>, line string")
+    met = spark.createDataFrame([(r, 0, i) for r in (1, 2) for i in range(len(lines)) if r == 1 or i % 12 < 5], "root long, band int, h long")
+    before = [spark.conf.get(x) for x in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = similar.compared(met, "line", ld.similar_lines(0.9), 3, 15, 10, items=items)
+        assert exchanged(links._jdf.queryExecution().executedPlan(), "line") == 2
+        got = [(r.src, r.dst) for r in links.collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
+    want = [(r.src, r.dst) for r in similar.compared(met.join(items, "h"), "line", ld.similar_lines(0.9), 3, 15, 10).collect()]
+    assert len(got) >= 12 and plain_components(range(24), got) == plain_components(range(24), want)
+
+
+def test_lines_of_other_lengths_are_no_candidates(spark):
+    """Items that share a root are told when one of them at least is long enough for another; a size may be very large."""
+    sizes = {1: 100, 2: 90, 3: 89, 4: 50, 5: 10**8, 6: 2**31 - 1}
+    rows = [(1, 0, [7]), (2, 1, [7]), (3, 0, [8]), (4, 0, [8]), (5, 0, [9]), (6, 0, [9]), (1, 0, [10]), (3, 0, [10])]
+    items = spark.createDataFrame([(h, fp, sizes[h], roots) for h, fp, roots in rows], "h long, fp long, size int, roots array<long>")
+    groups: dict[int, list[tuple[int, int]]] = {}
+    for r in similar.candidate_groups(items.where("fp = 0 or h = 2"), 0, 15, 0.9).where("band <> 99").collect():
+        groups.setdefault(r["root"], []).append((r["h"], r["band"]))
+    assert sorted(sorted(g) for g in groups.values()) == [[(1, 0), (2, 0)], [(5, 0), (6, 0)]]
