@@ -16,16 +16,18 @@ def points(text: str) -> np.ndarray:
 
 def edit_within(first: list[np.ndarray], second: list[np.ndarray], limit: np.ndarray) -> np.ndarray:
     """Whether the edit distance (insert, delete, replace) of first[k] and second[k], code points, is at most limit[k]."""
-    out = np.zeros(len(first), dtype=bool)
+    limit = np.asarray(limit, dtype=np.int64)
+    first, second = zip(*map(_between, first, second)) if len(first) else ((), ())
+    # what is left of the longer text can be replaced
+    out = np.fromiter((max(len(x), len(y)) for x, y in zip(first, second)), dtype=np.int64, count=len(first)) <= limit
     swap = [len(x) < len(y) for x, y in zip(first, second)]
     long = [y if s else x for s, x, y in zip(swap, first, second)]
     short = [x if s else y for s, x, y in zip(swap, first, second)]
     n = np.fromiter(map(len, short), dtype=np.int64, count=len(short))
     more = np.fromiter(map(len, long), dtype=np.int64, count=len(long)) - n
-    limit = np.asarray(limit, dtype=np.int64)
     # a path of at most `limit` edits strays at most (limit - more) // 2 from between the two corners' diagonals
     words = limit // 64 + 1
-    todo = np.flatnonzero(more <= limit)
+    todo = np.flatnonzero(~out & (more <= limit))
     todo = todo[np.lexsort((n[todo], words[todo]))]
     at = 0
     while at < len(todo):
@@ -97,15 +99,24 @@ def _banded(long: list[np.ndarray], short: list[np.ndarray], n: np.ndarray, more
     return out
 
 
-def _one(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
-    """The same for one pair, without a band; equal heads and tails are left out."""
+def _between(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two texts without their equal heads and tails; no fewest edits are in those."""
     n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    head = int(differ[0]) if len(differ) else n
+    differ = a[:n] != b[:n]
+    head = int(differ.argmax()) if n else 0
+    if n and not differ[head]:
+        head = n
     a, b, n = a[head:], b[head:], n - head
-    differ = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
-    tail = int(differ[0]) if len(differ) else n
-    a, b = a[: len(a) - tail].tolist(), b[: len(b) - tail].tolist()
+    differ = (a[len(a) - n :] != b[len(b) - n :])[::-1]
+    tail = int(differ.argmax()) if n else 0
+    if n and not differ[tail]:
+        tail = n
+    return a[: len(a) - tail], b[: len(b) - tail]
+
+
+def _one(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
+    """The same for one pair, without a band."""
+    a, b = a.tolist(), b.tolist()
     if not a or not b:
         return max(len(a), len(b)) <= limit
     where: dict[int, int] = {}

@@ -94,19 +94,22 @@ def _trie_rows(fingerprints: DataFrame, max_bits: int, capacity: int) -> DataFra
 
 def _joined(rows: DataFrame, max_bits: int, told: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], names: tuple[str, str]) -> DataFrame:
     """What told(fingerprints, smallest linked index of each) says of each task's tries."""
-    unsigned = F.col("word").bitwiseXOR(F.lit(-(1 << 63)))
     key, shifts = ["rot", "depth", "prefix"], np.array(_shifts(max_bits), dtype=np.uint64)
     # the short parts of the key pack well, their hash would not: it is made after the shuffle
     rows = rows.repartition(*key).select(F.xxhash64(*key).alias("key"), "rot", "home", "word")
-    rows = rows.sortWithinPartitions("key", F.desc("home"), unsigned)
+    # one long is sorted by its digits; the order within a node is made where the rows are used
+    rows = rows.sortWithinPartitions("key")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["key"]):
-            word = table.column("word").to_numpy().view(np.uint64)
-            back = shifts[table.column("rot").to_numpy()]
+            starts = group_starts(table, ["key"])
+            word, home = table.column("word").to_numpy().view(np.uint64), table.column("home").to_numpy()
+            order = np.lexsort((word, ~home, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(word))))))
+            word, home = word[order], home[order]
+            back = shifts[table.column("rot").to_numpy()[order]]
             node = ((word >> back) | (word << (np.uint64(64) - back & np.uint64(63)))).view(np.int64)
             label = np.arange(len(word))
-            for a, b in trie_join(word, table.column("home").to_numpy(), group_starts(table, ["key"]), max_bits):
+            for a, b in trie_join(word, home, starts, max_bits):
                 label = merged(label, a, b)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in told(node, label)], names=list(names))
 

@@ -23,6 +23,8 @@ from provenant.llm.similar import GRAM, candidate_groups, compared, gram_marks
 #: ASCII marks are left out of lines; digits count as 0 where candidates are sought, as themselves where lines are compared.
 _MARKS = bytes(x for x in range(33, 127) if not chr(x).isalnum())
 _AS_ZERO = bytes(48 if 48 <= x <= 57 else x for x in range(256))
+#: White space inside a line.
+_AS_SPACE = bytes(32 if x in b"\t\r\v\f" else x for x in range(256))
 #: Shorter lines (bytes) also meet under their halves: grams tell little of them.
 HALVED = 72
 #: Pairs held at once, and pairs of a line measured in a round.
@@ -30,12 +32,16 @@ PAIRS, MEASURED = 100_000, 6
 #: Characters from which runs of three letters are counted before a distance is measured.
 PROFILED = 500
 #: Bytes of lines marked at once, lines that a task remembers, rows that come back from Python at once.
-CHUNK, SEEN, ROWS_OUT = 1 << 20, 300_000, 500
+CHUNK, SEEN, ROWS_OUT = 1 << 18, 300_000, 500
 
 
 def normalized_lines(text: str) -> list[bytes]:
     """Each line in lower case, without ASCII marks, words one space apart (UTF-8)."""
-    return [b" ".join(line.split()) for line in text.lower().encode().translate(None, _MARKS).split(b"\n")]
+    raw = text.lower().encode().translate(_AS_SPACE, _MARKS)
+    # each turn halves the widest gap
+    while b"  " in raw:
+        raw = raw.replace(b"  ", b" ")
+    return [line.strip(b" ") for line in raw.split(b"\n")]
 
 
 def least_length(similarity: float) -> int:

@@ -237,3 +237,18 @@ def test_lines_of_other_lengths_are_no_candidates(spark):
     for r in similar.candidate_groups(items.where("fp = 0 or h = 2"), 0, 15, 0.9).where("band <> 99").collect():
         groups.setdefault(r["root"], []).append((r["h"], r["band"]))
     assert sorted(sorted(g) for g in groups.values()) == [[(1, 0), (2, 0)], [(5, 0), (6, 0)]]
+
+
+def test_lines_are_normalised_as_before():
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choices("a Bé-\t\n\r\v\f\x1c\x85 İ.", k=rng.randint(0, 40)))
+        assert ld.normalized_lines(text) == [b" ".join(x.split()) for x in text.lower().encode().translate(None, ld._MARKS).split(b"\n")]
+
+
+def test_a_short_difference_needs_no_table(monkeypatch):
+    """Between equal heads and tails, what is left can be replaced within the limit."""
+    monkeypatch.setattr(edit, "_banded", None)
+    monkeypatch.setattr(edit, "_one", None)
+    a = "one line of some words that stays as it is"
+    assert within([(a, a.replace("some", "zz"), 4), (a, a, 0), (a, a + "!", 1), ("", "ab", 2), ("aaa", "aa", 1)] * 30) == [True] * 150
