@@ -44,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Seconds from one collection of the driver's garbage to the next.
-TIDY_S = 10.0
+TIDY_S = 2.0
 _tidied = [0.0]
 
 

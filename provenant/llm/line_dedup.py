@@ -193,7 +193,7 @@ def _pairs(starts: np.ndarray, rows: int) -> Iterator[tuple[np.ndarray, np.ndarr
 
 
 def _fetched(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h, line, fp and the roots of the bands of the lines that wanted(h, key, line_no) asks for."""
+    """h, line, fp and the roots of the bands of the lines that wanted(h, key, line_no) asks for, once for each row of a key."""
     wanted = materialize(wanted.groupBy("key").agg(F.collect_list(F.struct("line_no", "h")).alias("want")), "line-wanted")
     texts = split_by_key(documents.select("key", "text"), wanted, "key", "key")[0].join(wanted, "key")
 
@@ -209,7 +209,7 @@ def _fetched(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             roots = pa.array(list(roots.view(np.int64)), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(line, pa.string()), pa.array(fp.view(np.int64)), roots], names=["h", "line", "fp", "roots"])
 
-    return texts.select("text", "want").mapInArrow(of, "h long, line string, fp long, roots array<long>").dropDuplicates(["h"])
+    return texts.select("text", "want").mapInArrow(of, "h long, line string, fp long, roots array<long>")
 
 
 def dropped_lines(rows: DataFrame, similarity: float, max_bits: int, max_far: int) -> DataFrame:
@@ -222,7 +222,8 @@ def dropped_lines(rows: DataFrame, similarity: float, max_bits: int, max_far: in
     nodes = materialize(lines.groupBy("h").agg(F.min(place).alias("place"), F.count("*").alias("n")), "line-nodes")
     met = materialize(candidate_groups(lines.where("fp is not null").select("h", "fp", "size", "roots"), max_bits, max_far, similarity), "line-met")
     asked = nodes.join(met.select("h").distinct(), "h").select("h", "place.key", "place.line_no")
-    found = _fetched(rows, asked)
+    # written so that the texts' shuffle can go before the lines' begins
+    found = materialize(_fetched(rows, asked), "line-found").dropDuplicates(["h"])
     links = materialize(compared(met, "line", similar_lines(similarity), max_bits, max_far, least=20_000, items=found), "line-links")
     groups = connected_components(links).select(F.col("node").alias("h"), F.col("component").alias("group"))
     # of a group, the first occurrence stays
